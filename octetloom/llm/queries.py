@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from octetloom.llm import mixing
+from octetloom.llm import mixing, simhash
 
 
 def queries() -> dict:
     return {
         "op5_mix_sources": mixing.op5_mix_sources,
+        "op9_simhash": simhash.op9_simhash,
     }
 
 
