@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from octetloom.llm import mixing, simhash
+from octetloom.llm import mixing, simhash, substrings
 
 
 def queries() -> dict:
     return {
         "op5_mix_sources": mixing.op5_mix_sources,
+        "op6_substring_dedup": substrings.op6_substring_dedup,
         "op9_simhash": simhash.op9_simhash,
     }
 

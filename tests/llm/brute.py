@@ -46,3 +46,21 @@ def components(fps, bits=3):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {d: find(d) for d in ids}
+
+
+def without_repeats(docs, window=50):
+    """{doc_id: (n_words, kept words)} for unique doc_ids."""
+    first = {}
+    split = {d: words(t) for d, t in docs.items()}
+    for d in sorted(docs):
+        ws = split[d]
+        for i in range(len(ws) - window + 1):
+            first.setdefault(tuple(ws[i : i + window]), d)
+    out = {}
+    for d, ws in split.items():
+        gone = set()
+        for i in range(len(ws) - window + 1):
+            if first[tuple(ws[i : i + window])] < d:
+                gone.update(range(i, i + window))
+        out[d] = (len(ws), [w for i, w in enumerate(ws) if i not in gone])
+    return out
