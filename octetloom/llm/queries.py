@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from octetloom.llm import mixing, simhash, substrings
+from octetloom.llm import mixing, packing, simhash, substrings
 
 
 def queries() -> dict:
     return {
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_substring_dedup": substrings.op6_substring_dedup,
+        "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_simhash": simhash.op9_simhash,
     }
 
