@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from octetloom.llm import mixing, packing, simhash, substrings
+from octetloom.llm import mixing, packing, simhash, substrings, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op6_substring_dedup": substrings.op6_substring_dedup,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_simhash": simhash.op9_simhash,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
