@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from octetloom.llm import mixing, packing, pii, simhash, substrings, toxicity
+from octetloom.llm import mixing, packing, pii, quality, simhash, substrings, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_quality_rules": quality.op2_quality_rules,
         "op3_pii": pii.op3_pii,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_substring_dedup": substrings.op6_substring_dedup,
