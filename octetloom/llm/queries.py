@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from octetloom.llm import mixing, packing, pii, quality, simhash, substrings, toxicity
+from octetloom.llm import mixing, packing, pii, quality, simhash, substrings, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_pii": pii.op3_pii,
+        "op4_warc_packages": warc.op4_warc_packages,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_substring_dedup": substrings.op6_substring_dedup,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
