@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from octetloom.llm import mixing, packing, pii, quality, simhash, substrings, toxicity, warc
+from octetloom.llm import mixing, packing, pii, quality, simhash, substrings, topk, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_exact_top_k": topk.op1_exact_top_k,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_pii": pii.op3_pii,
         "op4_warc_packages": warc.op4_warc_packages,
@@ -20,5 +21,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_exact_top_k": topk.ORACLE_SQL,
         "op5_mix_sources": mixing.ORACLE_SQL,
     }
