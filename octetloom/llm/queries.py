@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from octetloom.llm import mixing, packing, pii, quality, simhash, substrings, topk, toxicity, warc
+from octetloom.llm import mixing, packing, pii, quality, simhash, substrings, toolcalls, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_warc_packages": warc.op4_warc_packages,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_substring_dedup": substrings.op6_substring_dedup,
+        "op7_tool_calls": toolcalls.op7_tool_calls,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_simhash": simhash.op9_simhash,
         "op10_toxicity": toxicity.op10_toxicity,
