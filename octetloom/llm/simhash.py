@@ -76,30 +76,24 @@ def _counts(fp: str, group: int, per_group: int, segment: int) -> list:
     return [F.bit_count(F.shiftrightunsigned(fp, s).bitwiseAND(mask)) for s in shifts]
 
 
-def _cell(counts: list, segment: int):
-    """The counts as one number in base ``segment + 1``."""
-    return sum((c.cast("long") * F.lit((segment + 1) ** i) for i, c in enumerate(counts)), F.lit(0).cast("long"))
-
-
 def links(distinct: DataFrame, bits: int = BITS, segment: int = SEGMENT_BITS) -> DataFrame:
     """(a, b) for all pairs of distinct fingerprints within ``bits`` (``distinct``: fp).
 
-    A step up adds one unit to one count. Pairs a step apart meet once, from the
+    A cell is its group and its counts as one number in base ``segment + 1``; a
+    step up adds one unit to one count. Pairs a step apart meet once, from the
     lower one; pairs in one cell once, by order.
     """
     groups = bits // 2 + 1
     per_group = -(-64 // (segment * groups))
-    own, probe = [], []
-    for g in range(groups):
-        counts = _counts("fp", g, per_group, segment)
-        cell = _cell(counts, segment)
-        key = lambda c, step, g=g: F.struct(F.lit(g).alias("g"), c.alias("cell"), F.lit(step).alias("step"))
-        own.append(key(cell, False))
-        probe += [key(cell, False)] + [key(F.when(c < segment, cell + F.lit((segment + 1) ** i)), True) for i, c in enumerate(counts)]
-    own = distinct.select(F.col("fp").alias("b"), F.inline(F.array(*own))).drop("step")
-    probe = distinct.select(F.col("fp").alias("a"), F.inline(F.array(*probe))).where("cell IS NOT NULL")
+    units = [F.lit((segment + 1) ** i) for i in range(per_group)]
+    grid = distinct.select("fp", F.posexplode(F.array(*(F.array(*_counts("fp", g, per_group, segment)) for g in range(groups)))).alias("g", "counts"))
+    grid = grid.withColumn("weighed", F.zip_with("counts", F.array(*units), lambda c, u: F.coalesce(c, F.lit(0)) * u.cast("long")))
+    grid = grid.select("fp", "g", "counts", F.aggregate("weighed", F.lit(0).cast("long"), lambda x, y: x + y).alias("cell"))
+    up = F.transform("counts", lambda c, i: F.when(c < segment, F.col("cell") + F.element_at(F.array(*units), i + 1).cast("long")))
+    own = grid.select(F.col("fp").alias("b"), "g", "cell")
+    probe = grid.select(F.col("fp").alias("a"), "g", F.col("cell").alias("home"), F.explode(F.concat(F.array("cell"), F.filter(up, lambda c: c.isNotNull()))).alias("cell"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    met = probe.join(own, ["g", "cell"]).where(near & (F.col("step") | (F.col("a") < F.col("b"))))
+    met = probe.join(own, ["g", "cell"]).where(near & ((F.col("home") != F.col("cell")) | (F.col("a") < F.col("b"))))
     return met.select("a", "b").distinct()
 
 
