@@ -7,10 +7,13 @@ built-in exposes, take an Arrow function.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, FloatType
 
 #: Width in bytes and Spark type.
 TYPES = {
@@ -36,12 +39,12 @@ def _big_first(b: Column, n: int, endian: str | Column) -> Column:
     return cut if n == 1 else F.when(endian == "BE", cut).otherwise(reversed_bytes(b, n))
 
 
-@F.arrow_udf("float")
+@F.arrow_udf(FloatType())
 def _bits_f32(b: pa.Array) -> pa.Array:
     return _bits(b, 4, pa.float32())
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def _bits_f64(b: pa.Array) -> pa.Array:
     return _bits(b, 8, pa.float64())
 
@@ -65,16 +68,16 @@ def decode(b: Column, kind: str, endian: str | Column = "BE") -> Column:
         return big
     number = F.conv(F.hex(big), 16, 10).cast("decimal(20,0)")
     if kind[0] == "i":
-        number = F.when(number >= F.lit(1 << (8 * n - 1)), number - F.lit(1 << (8 * n)).cast("decimal(21,0)")).otherwise(number)
+        number = F.when(number >= F.lit(Decimal(1 << (8 * n - 1))), number - F.lit(Decimal(1 << (8 * n)))).otherwise(number)
     return number.cast(spark)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(BinaryType())
 def _f32_bits(v: pa.Array) -> pa.Array:
     return _own_bits(v, 4, pa.float32())
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(BinaryType())
 def _f64_bits(v: pa.Array) -> pa.Array:
     return _own_bits(v, 8, pa.float64())
 

@@ -6,19 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from octetloom.plans import containers
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The end-to-end query that ``entry`` runs."""
-    raise NotImplementedError
+    return containers.end_to_end(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
     """Every registered query by name."""
-    return {}
+    return {name: query for name, (query, _) in containers.ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name, for the queries that SQL can express."""
-    return {}
+    return {name: sql for name, (_, sql) in containers.ALL.items() if sql}
