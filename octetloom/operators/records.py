@@ -29,7 +29,7 @@ def records(
     width = sum(P.TYPES[k][0] for k in fields.values())
     start = F.lit(start) if isinstance(start, int) else start
     n = F.floor((F.length(content) - start) / width).cast("int")
-    last = n if count is None else F.least(n, F.lit(first + count))
+    last = n if count is None else F.when(n.isNotNull(), F.least(n, F.lit(first + count)))
     idx = F.when(last > first, F.sequence(F.lit(first), last - 1))
     out = rows.withColumn("idx", F.explode(idx)).withColumn("__record", _cut(F.col(content), start + F.col("idx") * width, F.lit(width)))
     at = 0
