@@ -116,6 +116,17 @@ def decode(data: bytes, endian: str = "BE", limit: int = OUTPUT_LIMIT, with_ops:
     return Decoded(header, bytes(out[: header.decompressed_size]), over, ops)
 
 
+def decode_range(data: bytes, offset: int, length: int, endian: str = "BE", limit: int = OUTPUT_LIMIT) -> bytes:
+    """``length`` decoded bytes at ``offset``; blocks behind them are not read."""
+    c = Cursor(data, endian)
+    size = read_header(c).decompressed_size
+    if offset < 0 or length < 0 or offset + length > size:
+        raise DecodeError("out_of_bounds", "yaz0.data", offset, length, size)
+    if offset + length > limit:
+        raise c.fail("output_too_large", "yaz0.header", offset + length)
+    return bytes(parse(c, offset + length, None, bytearray())[offset : offset + length])
+
+
 def longest_match(data: bytes, at: int, history: int = HISTORY) -> tuple[int, int]:
     """(distance, length) of the longest earlier run equal to what comes at ``at``; of equal lengths the greatest distance; (0, 0) below three bytes."""
     size = len(data)

@@ -44,6 +44,11 @@ def decompressed(b: Column, endian: str = "BE", limit: int = lz.OUTPUT_LIMIT) ->
     return _each(lambda raw: lz.decode(raw, endian, limit).data, _RESULT)(b)
 
 
+def decompressed_range(b: Column, offset: Column, length: Column, endian: str = "BE") -> Column:
+    """struct<ok, value, error>: some decoded bytes; decoding stops behind them."""
+    return _each(lambda raw, o, n: lz.decode_range(raw, o, n, endian), _RESULT)(b, offset.cast("bigint"), length.cast("bigint"))
+
+
 def compressed(b: Column, alignment: int = 0, endian: str = "BE") -> Column:
     """The encoded file; deterministic."""
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import textwrap
+import unicodedata
 from dataclasses import dataclass, field
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,34 @@ def ancestors(spark: SparkSession, nodes: DataFrame, most: int = 100) -> DataFra
         SELECT id, ancestor, distance FROM up""")
 
 
+def graphemes(text: str) -> list[str]:
+    """What a reader sees as characters."""
+    return regex.findall(r"\X", text)
+
+
+def display_width(text: str) -> int:
+    """Terminal cells of a text: two for wide characters, none for marks and controls."""
+    cells = 0
+    for g in graphemes(text):
+        c = g[0]
+        if unicodedata.category(c) not in ("Cc", "Cf", "Mn", "Me"):
+            cells += 2 if unicodedata.east_asian_width(c) in "WF" or "\ufe0f" in g else 1
+    return cells
+
+
+def clipped(text: str, width: int) -> str:
+    """A text cut between graphemes to ``width`` cells, an ellipsis in place of what is gone."""
+    if display_width(text) <= width:
+        return text
+    out, cells = "", 0
+    for g in graphemes(text):
+        cells += display_width(g)
+        if cells > width - 1:
+            break
+        out += g
+    return out + "…"
+
+
 @dataclass
 class Report:
     """A problem for people: title, kind, lines of information, flags and notes on places."""
@@ -73,9 +103,54 @@ class Report:
         for sign, items in (("-", self.info), ("!", self.flags)):
             for item in items:
                 lines += map(safe, textwrap.wrap(item, width, initial_indent=f"  {sign} ", subsequent_indent="    "))
+        tree: dict = {}
         for text, path in self.notes:
-            for depth, (name, kind, offset, size) in enumerate(path):
+            at = tree
+            for part in path:
+                at = at.setdefault(part, {})
+            at.setdefault(None, []).append(text)
+
+        def walk(node: dict, depth: int) -> None:
+            for part, below in node.items():
+                if part is None:
+                    lines.extend(safe(clipped(f"{'  ' * depth}^ {t}", width)) for t in below)
+                    continue
+                name, kind, offset, size = part
                 place = f" @{offset}" if offset is not None else ""
-                lines.append(safe(f"{'  ' * (depth + 1)}└ {name}{place}{'' if size is None else f' ({size} bytes)'}")[:width])
-            lines.append(safe(f"{'  ' * (len(path) + 1)}^ {text}")[:width])
+                lines.append(safe(clipped(f"{'  ' * depth}└ {name}{place}{'' if size is None else f' ({size} bytes)'}", width)))
+                walk(below, depth + 1)
+
+        walk(tree, 1)
         return "\n".join(lines)
+
+
+#: Sample reports by name, for looking at.
+GALLERY: dict[str, Report] = {}
+
+
+def story(name: str):
+    """Registers what a function returns as a sample report."""
+
+    def add(make):
+        GALLERY[name] = make()
+        return make
+
+    return add
+
+
+@story("truncated file")
+def _truncated() -> Report:
+    return Report.of(DecodeError("truncated", "yaz0.blocks", 20, 50, 11, (("file", "physical", 0, 99), ("blocks", "physical", 16, 83))), Context().note("operation", "copy").note("block", None))
+
+
+@story("unknown tag")
+def _unknown_tag() -> Report:
+    return Report.of(DecodeError("unknown_tag", "tag 0x13", 20, None, 64, (("file", "physical", 0, 64), ("key_table", "physical", 16, 48))))
+
+
+def unwrapped(call, *args, width: int = 80):
+    """The value of a call; a decode error becomes a RuntimeError whose message is its report."""
+    try:
+        return call(*args)
+    except DecodeError as e:
+        raise RuntimeError(Report.of(e).render(width)) from e
