@@ -151,15 +151,15 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     n, distinct = taken.agg(F.count("*"), F.countDistinct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))))).first()
     taken = taken.where("copies > 0")
     if n == distinct:
-        out = docs.join(taken.select(F.col("doc_id").alias("__id"), "copies"), F.col("doc_id").eqNullSafe(F.col("__id")))
+        out = docs.join(taken.select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies")), docs["doc_id"].eqNullSafe(F.col("__id")))
     else:
         number = F.row_number().over(Window.partitionBy(*same).orderBy(F.desc("copies")))
         taken = materialised(mix(docs, **how)).withColumn("__n", number).where("copies > 0")
-        taken = taken.select(*[F.col(c).alias(f"__{c}") for c in same], "__n", "copies")
+        taken = taken.select(*[F.col(c).alias(f"__{c}") for c in same], "__n", F.col("copies").alias("__copies"))
         left = docs.withColumn("__size", word_count(F.col("text")))
         left = left.withColumn("__m", F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text")))).withColumnRenamed("__size", "__own")
         out = left.join(taken, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__size")) & (F.col("__m") == F.col("__n")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[out[c] for c in docs.columns])
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[out[c] for c in docs.columns])
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -64,3 +64,43 @@ def without_repeats(docs, window=50):
                 gone.update(range(i, i + window))
         out[d] = (len(ws), [w for i, w in enumerate(ws) if i not in gone])
     return out
+
+
+def targets(sizes, weights=(5, 2, 1), epochs=3):
+    """{source: target} by sharing again and again until no target is above its cap."""
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, out, open_ = sum(sizes.values()), {}, set(order)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * level > epochs * sizes[s]}
+        if not over:
+            return out | {s: weight[s] * level for s in open_}
+        for s in over:
+            out[s] = float(epochs * sizes[s])
+            left -= epochs * sizes[s]
+        open_ -= over
+    return out
+
+
+def mix(docs, epochs=3):
+    """{row number: copies} for rows (doc_id, source, text)."""
+    import hashlib
+
+    rows = [(i, d, s, len(words(t))) for i, (d, s, t) in enumerate(docs)]
+    total = {}
+    for _, _, s, n in rows:
+        total[s] = total.get(s, 0) + n
+    target, copies, upto = targets(total), [], dict.fromkeys(total, 0)
+    key = lambda d: hashlib.md5(f"mix:{'' if d is None else d}".encode()).hexdigest()
+    for i, d, s, n in sorted(rows, key=lambda r: (key(r[1]), -(1 << 62) if r[1] is None else r[1], r[3])):
+        upto[s] += n
+        if n:
+            copies += [((e * total[s] + upto[s]) / target[s], key(d), d or 0, e, i, n) for e in range(epochs)]
+    out, held = dict.fromkeys(range(len(rows)), 0), 0
+    for *_, i, n in sorted(copies):
+        if held + n > sum(total.values()):
+            break
+        held += n
+        out[i] += 1
+    return out
