@@ -14,6 +14,7 @@ from octetloom.functions import primitives as P
 from octetloom.functions import slices as S
 from octetloom.functions import text as T
 from octetloom.operators import archives, compression, provenance, records, trees
+from octetloom.session import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,7 +162,7 @@ FROM (SELECT *, regexp_matches(text, '[^\\x{00}-\\x{FF}]') AS wide FROM document
 
 def name_hash(signed: bool):
     def run(spark, sf_dir):
-        t = _table(spark, sf_dir, "documents")
+        t = spread(_table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(24)).alias("text"), "source"))
         return t.select("doc_id", H.name_hash(_bytes(F.concat(F.left("text", F.lit(24)), F.col("source"))), signed=signed).alias("hash"), H.name_hash(_bytes("source"), 0xFFFFFFFF, signed).alias("wide"))
 
     return run
@@ -308,14 +309,14 @@ SELECT o_orderkey, CASE WHEN k IN (0, 3) THEN w WHEN k = 2 THEN w - 4294967296 E
 
 def yaz0_roundtrip(spark, sf_dir):
     r = compression.decompressed(compression.compressed(_bytes("text"), 64))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.length(r["value"]).cast("bigint").alias("n_bytes"), F.md5(r["value"]).alias("md5"))
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.length(r["value"]).cast("bigint").alias("n_bytes"), F.md5(r["value"]).alias("md5"))
 
 
 ROUND = "SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, md5(text) AS md5 FROM documents"
 
 
 def yaz0_splice(spark, sf_dir):
-    t = _table(spark, sf_dir, "part").withColumn("raw", _bytes(F.concat("p_name", "p_type")))
+    t = spread(_table(spark, sf_dir, "part")).withColumn("raw", _bytes(F.concat("p_name", "p_type")))
     r = compression.spliced(compression.compressed(F.col("raw")), F.lit(2), F.lit(5), _bytes("p_brand"))
     back = compression.decompressed(r["value"])
     return t.select("p_partkey", back["value"].cast("string").alias("value"))
@@ -334,7 +335,7 @@ LZ_HEADERS = "SELECT doc_id, octet_length(encode(source))::BIGINT AS decompresse
 
 
 def yaz0_op_stats(spark, sf_dir):
-    t = _table(spark, sf_dir, "pages").select("page_id", compression.compressed(_bytes("html")).alias("content"))
+    t = spread(_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", compression.compressed(_bytes("html")).alias("content"))
     out = compression.operations(t, keys=("page_id",))
     return out.groupBy("page_id").agg(F.sum("length").alias("n_bytes"), *(F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("literal", "short", "long")))
 

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -27,3 +27,12 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(ROOT))
     sc.addPyFile(str(archive))
     sc._octetloom_shipped = True
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan dealt out to all cores where its files give fewer tasks; large tables stay as they are.
+
+    A small file of one row group is one task, however costly what follows is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
