@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from octetloom.llm.common import WORD_RE, broadcast_if_small, materialised
+from octetloom.session import spread
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -164,7 +165,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
     """Mix all documents with the production weights."""
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE_SQL = r"""

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from octetloom.session import spread
+
 #: Labelled rows that the list is fitted on, at most: those with the least hash of doc_id.
 SAMPLE_ROWS = 12_000
 MAX_RULES, MAX_TESTS = 12, 4
@@ -217,5 +219,5 @@ def judged(docs: DataFrame, rules: list[tuple[Test, ...]]) -> DataFrame:
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return judged(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).select("doc_id", *COUNTS, "base_failed", "kept")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from octetloom.llm.common import materialised
 from octetloom.llm.components import connected_components
+from octetloom.session import spread
 
 BITS = 3
 SHINGLE = 3
@@ -128,5 +129,5 @@ def one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

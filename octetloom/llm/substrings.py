@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from octetloom.llm.common import HashCache, materialised, small_batches
+from octetloom.session import spread
 
 WINDOW = 50
 #: A perfect difference cover: every difference modulo 31 occurs among these.
@@ -276,5 +277,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """What repeats of 50 words leave of every document."""
-    out = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = without_repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

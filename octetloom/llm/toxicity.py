@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from octetloom.llm.common import materialised
+from octetloom.session import spread
 
 #: Labelled rows that the model is fitted on, at most: those with the least hash of doc_id.
 SAMPLE_ROWS = 12_000
@@ -322,7 +323,7 @@ def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFram
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     """Score of every document, learned without the held-out fifth."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     return scores(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
