@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from octetloom.llm.common import materialised
+from octetloom.session import spread
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -41,6 +42,15 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@cache
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    return own
+
+
 @cache
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """Text to ids by the tokenizer file at ``path``.
@@ -50,11 +60,7 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     words and any other tokenizer go to the tokenizer itself. Names of special
     tokens in a text are ordinary text.
     """
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    slow = lambda text: np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
+    slow = lambda text: np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
     spec = json.load(open(path, encoding="utf-8"))
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
     merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
@@ -221,5 +227,5 @@ def packed_documents(docs: DataFrame, tokenizer: str | None = None, capacity: in
 
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
-    out = packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = packed_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))
