@@ -14,20 +14,23 @@ from pyspark.sql import functions as F
 
 from octetloom.llm import mixing, packing, pii, simhash, toxicity
 from octetloom.llm.common import ensure_checkpoint_dir
+from octetloom.session import spread
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents scoring below one half, by a model fitted on the labels of these documents."""
+    docs = spread(docs)
     return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each component."""
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(spread(docs))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the spans found replaced by their kind."""
+    docs = spread(docs)
     return pii.redacted(docs, pii.fit(docs))
 
 
@@ -38,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences of 2048 tokens."""
-    out = packing.packed_documents(docs)
+    out = packing.packed_documents(spread(docs))
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))
 
 
