@@ -140,12 +140,12 @@ def longest_match(data: bytes, at: int, history: int = HISTORY) -> tuple[int, in
         if p < 0:
             break
         # The first place that is longer than what was known; how long is it?
-        a, b = data[p : p + most], data[at : at + most]
-        if a == b:
+        if data[p : p + most] == data[at : at + most]:
             length = most
         else:
-            differ = int.from_bytes(a, "big") ^ int.from_bytes(b, "big")
-            length = most - (differ.bit_length() + 7) // 8
+            length += 1
+            while data[p + length] == data[at + length]:
+                length += 1
         best, p = p, p + 1
     return (at - best, length) if best >= 0 else (0, 0)
 
