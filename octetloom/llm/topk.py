@@ -9,7 +9,7 @@ upper bound is below the k-th lower bound leave; reading goes on, each time
 twice as deep, and whoever is left when the lists end has its exact score. The
 bounds of many queries at once are matrix products of the clipped lists. Best
 rows of each block are merged by query. Blocks of queries meet blocks of
-vectors pairwise, each pair in a task of its own choosing.
+vectors pairwise, dealt out by the pair.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from octetloom.llm.common import materialised
+from octetloom.llm.common import broadcast_if_small, materialised
 
 K = 10
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
+SPREAD = 256
 #: Share of a list that the first read takes.
 FIRST_DEPTH = 1 / 8
 #: Products and sums below this are exact as doubles.
@@ -160,10 +161,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     kind = "block long, ids binary, data binary"
     rows = materialised(rows.mapInArrow(_pack(BLOCK_ROWS), kind))
     asked = materialised(asked.mapInArrow(_pack(BLOCK_QUERIES), kind))
-    blocks = asked.select(F.col("block").alias("q_block"))
-    # A pair of blocks is a key; both sides are dealt out by it, so no block waits for another.
-    pairs = materialised(rows.select("block").join(F.broadcast(blocks) if asked.count() <= 100_000 else blocks))
-    met = rows.join(pairs, "block").join(asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "q_block")
+    n_rows, n_asked = rows.count(), asked.count()
+    # Every block of vectors meets every block of queries. Vectors are dealt out by the pair of the query block and one of
+    # SPREAD groups of vector blocks, so that few query blocks make no few tasks; query blocks go once to each group.
+    groups = max(1, min(SPREAD, n_rows))
+    numbers = asked.select(F.col("block").alias("q_block"))
+    left = rows.join(broadcast_if_small(numbers, n_asked)).withColumn("group", F.pmod(F.hash("block"), F.lit(groups)))
+    right = asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    met = left.join(right, ["q_block", "group"])
     found = met.select("ids", "data", "q_ids", "q_data").mapInArrow(_best(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
