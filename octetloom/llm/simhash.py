@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from octetloom.llm.common import materialised
@@ -98,6 +98,17 @@ def links(distinct: DataFrame, bits: int = BITS, segment: int = SEGMENT_BITS) ->
     return met.select("a", "b").distinct()
 
 
+def _placed(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of the documents; and of each distinct fingerprint fp, its least doc_id (first), the root of its component and component_id."""
+    fps = materialised(fingerprints(docs))
+    nodes = materialised(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    found = materialised(links(nodes.select("fp"), bits))
+    roots = connected_components(found)
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    return fps, materialised(placed.join(least, "root").select("fp", "first", "root", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """One row per document: doc_id, fp (signed long) and component_id.
 
@@ -108,23 +119,36 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     is alone (then null); an empty table gives an empty result. Other columns
     are ignored.
     """
-    fps = materialised(fingerprints(docs))
-    nodes = materialised(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = materialised(links(nodes.select("fp"), bits))
-    roots = connected_components(found)
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    placed = materialised(placed.join(least, "root").select("fp", "component_id"))
+    fps, placed = _placed(docs, bits)
     return fps.join(placed, "fp").select("doc_id", "fp", "component_id")
 
 
+def _own_fingerprint(text: Column) -> Column:
+    @F.arrow_udf("bigint")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((fingerprint(t) for t in texts.to_pylist()), np.uint64, len(texts)).view(np.int64))
+
+    return run(text.cast("string"))
+
+
 def one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The documents that give their component its name, one row each, with the columns of ``docs``."""
-    found = materialised(near_duplicates(docs, bits))
-    n, distinct = found.agg(F.count("*"), F.countDistinct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))))).first()
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    out = docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
-    return out if n == distinct else out.dropDuplicates(["doc_id"])
+    """One row of each component, with the columns of ``docs``: the one with the smallest doc_id (a null after all others) and then fingerprint.
+
+    Components, not ids, are counted: unlike texts that share an id, or have
+    none, all stay. Only rows whose id is null or repeated are told apart by
+    their fingerprints; of equal ids and fingerprints any one stays.
+    """
+    fps, placed = _placed(docs, bits)
+    winner = placed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("w"))
+    winner = materialised(winner.select(F.col("w.first").alias("__id"), F.col("w.fp").alias("__fp")))
+    shared = materialised(fps.groupBy("doc_id").count().where(F.col("doc_id").isNull() | (F.col("count") > 1)).select(F.col("doc_id").alias("__shared")))
+    own = docs["doc_id"].cast("long")
+    if shared.isEmpty():
+        return docs.join(winner, own == winner["__id"], "left_semi")
+    once = docs.join(winner.join(shared, F.col("__id").eqNullSafe(F.col("__shared")), "left_anti"), own == F.col("__id"), "left_semi")
+    many = docs.join(shared, own.eqNullSafe(F.col("__shared")), "left_semi").withColumn("__own", _own_fingerprint(F.col("text")))
+    many = many.join(winner, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp")), "left_semi")
+    return once.unionByName(many.dropDuplicates(["doc_id", "__own"]).drop("__own"))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -63,3 +63,11 @@ def test_repeats_nulls_and_no_rows(spark):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "None"]
     assert simhash.near_duplicates(rows(spark, [])).count() == 0
+
+
+def test_unlike_texts_of_one_id_or_none_all_stay(spark):
+    texts = [(None, "a b c d"), (None, "other words here now"), (None, "other words here now"), (None, "third text without an id"), (3, "a b c d"), (7, "one text of seven"), (7, "quite another text under seven"), (7, "one text of seven"), (8, "one text of seven"), (9, "alone")]
+    docs = rows(spark, texts).repartition(3)
+    kept = simhash.one_of_each(docs)
+    want = [(3, "a b c d"), (None, "other words here now"), (None, "third text without an id"), (7, "one text of seven"), (7, "quite another text under seven"), (9, "alone")]
+    assert kept.columns == docs.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
