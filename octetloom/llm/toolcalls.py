@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 from octetloom.llm.common import materialised
 
-#: Calls of one conversation that a task may order at a time; larger conversations are ordered by joins, one level a round.
+#: Calls of one conversation that a task may order at a time; larger conversations are ordered by joins.
 GROUP_CALLS = 50_000
-MAX_ROUNDS = 10_000
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
@@ -160,20 +159,48 @@ def _level_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """``df`` materialised without its size estimate, which checkpoints keep: as a product over joins it would double its digits each round."""
+    return materialised(df.sparkSession.createDataFrame(df.rdd, df.schema, verifySchema=False))
+
+
 def _levels_by_joins(nodes: DataFrame) -> DataFrame:
-    """The same for conversations of any size."""
-    edges = nodes.select("conv_id", "call_id", F.explode("deps").alias("dep"))
-    edges = materialised(edges.join(nodes.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi"))
-    left, done = nodes.select("conv_id", "call_id"), None
-    for n in range(MAX_ROUNDS):
-        ready = materialised(left.join(edges, ["conv_id", "call_id"], "left_anti"))
-        if ready.isEmpty():
+    """The same for conversations of any size.
+
+    A call's level is the greatest of its ``floor`` and of ``steps`` plus the
+    level of each call it still waits for. Each round puts the levels found into
+    the floors, and where a call waits for one that itself waits for a single
+    other, skips to that other: steps add up, so chains and trees halve and take
+    as many rounds as the log of their depth. A round that finds no call without
+    waits leaves only calls on or above a cycle.
+    """
+    key = ["conv_id", "call_id"]
+    edges = nodes.select(*key, F.explode(F.array_distinct("deps")).alias("dep"), F.lit(1).cast("long").alias("steps"))
+    edges = materialised(edges.join(nodes.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi").select(*key, "dep", "steps"))
+    state, done, n = materialised(nodes.select(*key, F.lit(0).cast("long").alias("floor"))), None, 0
+    # Steps around a cycle double without end; no chain is as long as the bound.
+    bounded = lambda c: F.when(c > 1 << 40, 1 << 40).otherwise(c)
+    while True:
+        waits = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("dep").alias("next"), F.max("steps").alias("more"))
+        state = _fresh(state.select(*key, "floor").join(waits, key, "left"))
+        found = state.where(F.col("n").isNull()).select("conv_id", F.col("call_id").alias("dep"), F.col("floor").alias("level"))
+        if found.isEmpty():
             break
-        found = ready.withColumn("level", F.lit(n))
-        done = found if done is None else done.unionByName(found)
-        left = materialised(left.join(ready, ["conv_id", "call_id"], "left_anti"))
-        edges = materialised(edges.join(ready.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left_anti"))
-    rest = left.withColumn("level", F.lit(None).cast("int"))
+        ready = found.select("conv_id", F.col("dep").alias("call_id"), F.col("level").cast("int").alias("level"))
+        done = ready if done is None else done.unionByName(ready)
+        n += 1
+        if n % 32 == 0:
+            done = materialised(done)
+        state = state.where(F.col("n").isNotNull())
+        single = state.where("n = 1").select("conv_id", F.col("call_id").alias("dep"), F.col("floor").alias("via"), "next", "more")
+        met = edges.join(found, ["conv_id", "dep"], "left").join(single, ["conv_id", "dep"], "left")
+        # A skip also hands on the floor of the call it passes; what it leads to may be ready by now.
+        met = met.select(*key, bounded(F.col("steps") + F.coalesce("level", "via")).alias("least"), F.when(F.col("level").isNull(), F.coalesce("next", "dep")).alias("dep"), bounded(F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        met = met.join(found.withColumnRenamed("level", "end"), ["conv_id", "dep"], "left")
+        met = _fresh(met.select(*key, F.greatest("least", F.col("steps") + F.col("end")).alias("least"), F.when(F.col("end").isNull(), F.col("dep")).alias("dep"), "steps"))
+        state = state.select(*key, "floor").join(met.groupBy(*key).agg(F.max("least").alias("least")), key, "left").select(*key, F.greatest("floor", "least").alias("floor"))
+        edges = _fresh(met.where(F.col("dep").isNotNull()).groupBy(*key, "dep").agg(F.max("steps").alias("steps")))
+    rest = state.select(*key, F.lit(None).cast("int").alias("level"))
     return rest if done is None else done.unionByName(rest)
 
 

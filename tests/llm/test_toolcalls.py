@@ -96,3 +96,14 @@ def test_messages_are_canonical_and_odd_rows_stay(spark):
     )
     none = spark.createDataFrame([], CALLS)
     assert tc.link_calls(none, spark.createDataFrame([], RESULTS), SCHEMA).count() == 0
+
+
+def test_deep_chains_keep_their_order(spark, monkeypatch):
+    monkeypatch.setattr(tc, "GROUP_CALLS", 3)
+    monkeypatch.setattr(tc, "MAX_ROUNDS", 5, raising=False)
+    chain = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(3000)}
+    ring = {f"r{i}": [f"r{(i + 1) % 5}"] for i in range(5)} | {"above": ["r0", "c7"], "self": ["self"]}
+    ladder = {f"l{i}": [f"l{j}" for j in (i - 1, i - 2) if j >= 0] for i in range(9)} | {"fork": ["l8", "c2000"], "onto": ["fork"]}
+    calls = chain | ring | ladder
+    rows = spark.createDataFrame([(1, c, deps) for c, deps in calls.items()], "conv_id long, call_id string, deps array<string>")
+    assert {r.call_id: r.level for r in tc._levels_by_joins(rows).collect()} == tc.levels(calls)
