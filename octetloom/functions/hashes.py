@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +39,25 @@ def name_hash(b: Column, multiplier: int = MULTIPLIER, signed: bool = True) -> C
     return F.aggregate(at, F.lit(0).cast("bigint"), lambda h, i: F.pmod(h * multiplier + own(byte(i)), F.lit(_WRAP)))
 
 
+def text_hash(b: Column, multiplier: int = MULTIPLIER, signed: bool = True) -> Column:
+    """The same for long values, whose bytes are weighed by powers of the multiplier in an Arrow function; 32-bit numbers wrap by themselves."""
+
+    @F.arrow_udf("bigint")
+    def run(values: pa.Array) -> pa.Array:
+        size = 4096
+        powers = np.array([pow(multiplier, i, _WRAP) for i in range(size, -1, -1)], np.uint32)
+        out = []
+        for raw in values.to_pylist():
+            h = 0
+            for at in range(0, len(raw or b""), size):
+                part = np.frombuffer(raw, np.int8 if signed else np.uint8, min(size, len(raw) - at), at).astype(np.int32).view(np.uint32)
+                h = (h * int(powers[size - len(part)]) + int((part * powers[size + 1 - len(part) :]).sum(dtype=np.uint32))) % _WRAP
+            out.append(None if raw is None else h)
+        return pa.array(out, pa.int64())
+
+    return run(b)
+
+
 def unpacked_attributes(word: Column) -> Column:
     """struct<sequence, index, error> of a name attribute: 0 is none; the top byte is a sequence from 1, the rest an index."""
     word = word.cast("bigint")

@@ -178,6 +178,16 @@ def _hash_sql(signed: bool) -> str:
     return f"SELECT doc_id, {one('(text[1:24] || source)', 101)} AS hash, {one('source', 4294967295)} AS wide FROM documents"
 
 
+def name_hash_text(signed: bool):
+    """The hash of the whole text and source; SQL goes byte by byte through a copy of the text each, too slow for whole texts."""
+
+    def run(spark, sf_dir):
+        t = spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+        return t.select("doc_id", H.text_hash(_bytes(F.concat("text", "source")), signed=signed).alias("hash"))
+
+    return run
+
+
 def name_hash_collisions(spark, sf_dir):
     t = _table(spark, sf_dir, "part").select("p_name", H.name_hash(_bytes("p_name"), 3).alias("hash")).distinct()
     return t.groupBy("hash").agg(F.count("*").alias("names"), F.min("p_name").alias("first")).where("names > 1")
@@ -418,6 +428,8 @@ ALL = {
     "latin1_len": (latin1_len, LATIN1),
     "name_hash_signed": (name_hash(True), _hash_sql(True)),
     "name_hash_unsigned": (name_hash(False), _hash_sql(False)),
+    "name_hash_text_signed": (name_hash_text(True), None),
+    "name_hash_text_unsigned": (name_hash_text(False), None),
     "name_hash_collisions": (name_hash_collisions, COLLISIONS),
     "attr_unpack": (attr_unpack, ATTRS),
     "fixed_record_scan": (fixed_record_scan, SCAN),

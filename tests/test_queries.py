@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from octetloom.codec import archive
 from octetloom.errors import DecodeError, strict
 from octetloom.functions import primitives as P
 from octetloom.functions import slices as S
@@ -140,3 +141,12 @@ def test_entry_has_rows(spark):
 def test_plans_push_down(spark):
     plan = containers.u24_decode(spark, str(TABLES))._jdf.queryExecution().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_linenumber:int>" in plan and "Python" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("signed", [True, False])
+def test_whole_texts_are_hashed(spark, tmp_path, signed):
+    head = "one head of more than twenty-four points "
+    texts = [head + "a", head + "b", head + "é" * 5000, "x" * 4096, "y" * 8191, "", None]
+    spark.createDataFrame([(i, t, "web") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.hash for r in registry.queries()["name_hash_text_signed" if signed else "name_hash_text_unsigned"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else archive.name_hash((t + "web").encode(), signed=signed) for i, t in enumerate(texts)}
