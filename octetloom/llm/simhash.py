@@ -106,7 +106,7 @@ def _placed(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     roots = connected_components(found)
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps, materialised(placed.join(least, "root").select("fp", "first", "root", "component_id"))
+    return fps, placed.join(least, "root")
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
@@ -120,6 +120,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     are ignored.
     """
     fps, placed = _placed(docs, bits)
+    placed = materialised(placed.select("fp", "component_id"))
     return fps.join(placed, "fp").select("doc_id", "fp", "component_id")
 
 
