@@ -27,8 +27,16 @@ GROUP_CALLS = 50_000
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """Canonical JSON; halves of surrogate pairs, which UTF-8 cannot hold, stay escaped."""
+    return _escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _escaped(text: str) -> str:
+    return _LONE.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
 
 
 def _constant(name: str):
@@ -81,7 +89,7 @@ def errors(value, schema: dict, at: str = "$") -> list[str]:
 
 
 def references(value) -> list[str]:
-    """The identifiers that a value refers to, each once, sorted."""
+    """The identifiers that a value refers to, each once, sorted; one with half a surrogate pair can name no call."""
     found, todo = set(), [value]
     while todo:
         v = todo.pop()
@@ -91,7 +99,7 @@ def references(value) -> list[str]:
             todo += v.values()
         elif isinstance(v, list):
             todo += v
-    return sorted(found)
+    return sorted(f for f in found if not _LONE.search(f))
 
 
 def levels(calls: dict[str, list[str]]) -> dict[str, int | None]:
@@ -124,7 +132,7 @@ def _parsed(schemas: dict[str, dict]):
                     value = json.loads(raw or "", parse_constant=_constant)
                     args.append(canonical(value))
                     deps.append(references(value))
-                    wrong.append(errors(value, schemas[name]) if name in schemas else ["$: unknown tool"])
+                    wrong.append([_escaped(e) for e in errors(value, schemas[name])] if name in schemas else ["$: unknown tool"])
                 except (ValueError, RecursionError):
                     args.append(canonical(raw))
                     deps.append([])
@@ -214,8 +222,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     the first by turn, name and arguments stays; of several results the first by
     turn and content is linked and all are counted; a result without a call has no
     name and is not valid. Null conversations or identifiers match nothing but are
-    kept; arguments that are null or not JSON are kept as a string and not valid.
-    Other columns are ignored.
+    kept; arguments that are null or not JSON are kept as a string and not valid;
+    of a key that repeats in an object the last counts; an empty table gives an
+    empty result. Other columns are ignored.
     """
     calls = calls.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("call_id").cast("string").alias("call_id"), F.col("turn").cast("long").alias("turn"), F.col("name").cast("string").alias("name"), F.col("arguments").cast("string").alias("arguments"))
     known = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
@@ -269,3 +278,32 @@ def op7_tool_calls(spark, sf_dir: str) -> DataFrame:
     calls = talk.where(F.col("role").isin("user", "system")).select("conv_id", name(turn).alias("call_id"), "turn", F.when(user, "reply").otherwise("configure").alias("name"), args.alias("arguments"))
     results = talk.where(F.col("role") == "assistant").select("conv_id", name(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return link_calls(calls, results, SCHEMAS)
+
+
+ORACLE_SQL = """
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, role, text, 'call-' || turn AS call_id,
+    CASE WHEN role = 'user' THEN 'reply' ELSE 'configure' END AS name,
+    CASE WHEN role = 'user' AND turn >= 2 THEN 'call-' || (turn - 2) END AS dep
+  FROM conversations WHERE role IN ('user', 'system')),
+calls AS (
+  SELECT *, '{' || array_to_string(list_filter([
+      '"after":{"$ref":"' || dep || '"}', '"text":' || to_json(text), CASE WHEN role = 'user' THEN '"turn":' || turn END], lambda x: x IS NOT NULL), ',') || '}' AS arguments,
+    array_to_string(list_filter([
+      CASE WHEN text IS NULL THEN '$.text: missing' END, CASE WHEN length(text) < 1 THEN '$.text: too short' END,
+      CASE WHEN role = 'user' AND length(text) > 300 THEN '$.text: too long' END, CASE WHEN role = 'user' AND turn < 0 THEN '$.turn: below 0' END], lambda x: x IS NOT NULL), '; ') AS errors
+  FROM raw),
+leveled AS (
+  SELECT c.conv_id, c.call_id, 0 AS level FROM calls c LEFT JOIN calls d ON d.conv_id = c.conv_id AND d.call_id = c.dep WHERE d.call_id IS NULL
+  UNION ALL
+  SELECT c.conv_id, c.call_id, l.level + 1 FROM leveled l JOIN calls c ON c.conv_id = l.conv_id AND c.dep = l.call_id),
+results AS (
+  SELECT conv_id, 'call-' || (turn - 1) AS call_id, min(turn) AS turn, arg_min(text, turn) AS content, count(*) AS n
+  FROM conversations WHERE role = 'assistant' GROUP BY ALL)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn, c.name, l.level,
+  coalesce(r.n, 0)::BIGINT AS n_results, coalesce(c.errors = '', false) AS valid, coalesce(c.errors, '$: no call') AS errors,
+  '{"arguments":' || coalesce(c.arguments, 'null') || ',"id":' || to_json(coalesce(c.call_id, r.call_id)) || ',"name":' || coalesce(to_json(c.name)::VARCHAR, 'null')
+    || ',"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS message
+FROM calls c LEFT JOIN leveled l ON l.conv_id = c.conv_id AND l.call_id = c.call_id
+FULL JOIN results r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+"""

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from hypothesis import given
@@ -42,24 +43,39 @@ def test_schema_errors(value, schema, n):
     assert len(tc.errors(value, schema)) == n
 
 
+def depth_of(call, deps, path=()):
+    """The longest chain below a call by walking all of them; None where one comes back."""
+    if call in path:
+        return None
+    below = [depth_of(d, deps, (*path, call)) for d in deps[call] if d in deps]
+    return None if None in below else 1 + max(below, default=-1)
+
+
 def plain(calls, results):
-    first, by = {}, {}
-    for c in sorted(calls, key=lambda c: (c[2], c[3], c[4])):
-        first.setdefault(c[:2], c)
-    for r in sorted(results, key=lambda r: (r[2], r[3])):
-        by.setdefault(r[:2], []).append(r)
-    out = []
-    for conv in {k[0] for k in first}:
+    """What link_calls returns for SCHEMA and arguments {"x": …, "r": [references]}, said over again."""
+    out, names = [], {(c[0], c[1]) for c in calls}
+    for conv, i in names:
+        mine = min((c[2:] for c in calls if c[:2] == (conv, i)), key=lambda c: (c[0], c[1], c[2]))
+        met = sorted((r[2], r[3]) for r in results if r[:2] == (conv, i))
         deps = {}
-        for (v, i), c in first.items():
-            if v == conv:
-                try:
-                    deps[i] = tc.references(json.loads(c[4]))
-                except ValueError:
-                    deps[i] = []
-        found = tc.levels(deps)
-        out += [(conv, i, found[i], len(by.get((conv, i), []))) for i in deps]
-    return sorted(out + [(*k, None, len(v)) for k, v in by.items() if k not in first], key=str)
+        for other in {k[1] for k in names if k[0] == conv}:
+            raw = min((c[2:] for c in calls if c[:2] == (conv, other)), key=lambda c: (c[0], c[1], c[2]))[2]
+            deps[other] = re.findall(r'"\$ref": "(\w+)"', raw)
+        turn, name, raw = mine
+        if raw == "{":
+            args, wrong = '"{"', ["$: not JSON"]
+        else:
+            value = json.loads(raw)
+            args, wrong = json.dumps(value, sort_keys=True, separators=(",", ":")), []
+            wrong += [] if isinstance(value["x"], int) else ["$.x: not integer"]
+            wrong = (["$.r: not allowed"] if "r" in value else []) + wrong
+        content = json.dumps(met[0][1]) if met else "null"
+        message = f'{{"arguments":{args},"id":"{i}","name":"f","result":{content}}}'
+        out.append((conv, i, turn, depth_of(i, deps), len(met), not wrong, "; ".join(wrong), message))
+    for conv, i in {r[:2] for r in results} - names:
+        met = sorted((r[2], r[3]) for r in results if r[:2] == (conv, i))
+        out.append((conv, i, met[0][0], None, len(met), False, "$: no call", f'{{"arguments":null,"id":"{i}","name":null,"result":"{met[0][1]}"}}'))
+    return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("group", [50_000, 3])
@@ -75,7 +91,7 @@ def test_links_and_levels_match_brute_force(spark, monkeypatch, group):
             if rng.random() < 0.7:
                 results.append((conv, f"c{rng.randrange(8)}", t, f"r{t}"))
     got = tc.link_calls(spark.createDataFrame([(*c, None, None) for c in calls], CALLS), spark.createDataFrame([(*r, None) for r in results], RESULTS), SCHEMA)
-    assert sorted(((r.conv_id, r.call_id, r.level, r.n_results) for r in got.collect()), key=str) == plain(calls, results)
+    assert sorted(((r.conv_id, r.call_id, r.turn, r.level, r.n_results, r.valid, r.errors, r.message) for r in got.collect()), key=str) == plain(calls, results)
 
 
 def test_messages_are_canonical_and_odd_rows_stay(spark):
@@ -98,6 +114,22 @@ def test_messages_are_canonical_and_odd_rows_stay(spark):
     assert tc.link_calls(none, spark.createDataFrame([], RESULTS), SCHEMA).count() == 0
 
 
+def test_halves_of_surrogate_pairs_stay_escaped(spark):
+    odd = '{"x":"\\ud800","\\udfff":[{"$ref":"\\ud800"},{"$ref":"b"}],"ok":"\\ud83d\\ude00"}'
+    calls = [(1, "a", 0, "f", odd), (1, "b", 1, "f", '{"x":1}'), (1, "\\ud800", 2, "f", '{"x":1}')]
+    rows = tc.link_calls(spark.createDataFrame([(*c, None, None) for c in calls], CALLS), spark.createDataFrame([(1, "a", 3, "\\ud800", None)], RESULTS), SCHEMA).collect()
+    a = next(r for r in rows if r.call_id == "a")
+    assert a.level == 1 and not a.valid and a.errors.startswith("$.ok: not allowed; $.x: not integer; $.\\udfff: not allowed")
+    said = json.loads(a.message)
+    assert said["arguments"] == json.loads(odd) and said["result"] == "\\ud800" and "😀" in a.message
+
+
+def test_a_chain_of_200_000_calls(spark):
+    rows = spark.range(200_000).selectExpr("1L AS conv_id", "cast(id AS string) AS call_id", "CASE WHEN id > 0 THEN array(cast(id - 1 AS string)) ELSE array() END AS deps")
+    levels = tc._levels_by_joins(rows)
+    assert levels.count() == 200_000 and levels.where("level IS NULL OR level <> cast(call_id AS int)").count() == 0
+
+
 def test_deep_chains_keep_their_order(spark, monkeypatch):
     monkeypatch.setattr(tc, "GROUP_CALLS", 3)
     monkeypatch.setattr(tc, "MAX_ROUNDS", 5, raising=False)
