@@ -180,33 +180,39 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "html", "first")
 
 
+def write_package(batches: Iterator[pa.RecordBatch], folder: str, number: int) -> tuple[str, int] | None:
+    """Writes the rows (page_id, url, html, first) as one package under a name that no other attempt uses; its path and number of records, or None without rows."""
+    store, base = pafs.FileSystem.from_uri(folder)
+    store.create_dir(base, recursive=True)
+    name = f"part-{number:06d}-{uuid.uuid4().hex}.wacz"
+    at, index, n = 0, [], 0
+    with store.open_output_stream(f"{base}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        with z.open(zipfile.ZipInfo(DATA), "w", force_zip64=True) as data:
+            for b in batches:
+                for page_id, url, html, first in zip(*(c.to_pylist() for c in b.columns)):
+                    raw = _gzip(record(page_id, url, html.encode(), first))
+                    data.write(raw)
+                    index.append(json.dumps({"page_id": page_id, "offset": at, "length": len(raw)}))
+                    at, n = at + len(raw), n + 1
+        z.writestr(zipfile.ZipInfo(INDEX), "\n".join(index))
+    if n:
+        return f"{folder.rstrip('/')}/{name}", n
+    store.delete_file(f"{base}/{name}")
+    return None
+
+
 def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Writes one package per partition into ``folder`` (a URI all executors share) and returns their paths and numbers of records.
 
-    A task writes under a name of its own and renames at the end, so a repeated
-    task replaces its package by an equal one.
+    Every attempt of a task writes a package of its own and nothing is renamed or
+    replaced, on any store: the rows returned are those of the attempt that
+    counted, and what a failed or doubled attempt leaves is in no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        store, base = pafs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
-        final, own = (f"{base}/part-{task.partitionId():06d}{end}" for end in (".wacz", f".{task.taskAttemptId()}.tmp"))
-        at, index, n = 0, [], 0
-        with store.open_output_stream(own) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-            with z.open(zipfile.ZipInfo(DATA), "w", force_zip64=True) as data:
-                for b in batches:
-                    for page_id, url, html, first in zip(*(c.to_pylist() for c in b.columns)):
-                        raw = _gzip(record(page_id, url, html.encode(), first))
-                        data.write(raw)
-                        index.append(json.dumps({"page_id": page_id, "offset": at, "length": len(raw)}))
-                        at, n = at + len(raw), n + 1
-            z.writestr(zipfile.ZipInfo(INDEX), "\n".join(index))
-        if n:
-            store.move(own, final)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/part-{task.partitionId():06d}.wacz"]), pa.array([n], pa.int64())], ["path", "records"])
-        else:
-            store.delete_file(own)
+        done = write_package(batches, folder, TaskContext.get().partitionId())
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([done[0]]), pa.array([done[1]], pa.int64())], ["path", "records"])
 
     return materialised(with_revisits(pages, least_bytes).mapInArrow(run, "path string, records long"))
 
@@ -283,3 +289,14 @@ def op4_warc_packages(spark, sf_dir: str) -> DataFrame:
     """
     packages = write_packages(spark.read.parquet(f"{sf_dir}/pages.parquet"), shared_folder(spark))
     return read_packages(packages, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hexed FROM pages),
+f AS (SELECT hexed, min(page_id) AS first FROM p GROUP BY hexed)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hexed, 1 + 5 * i // 4, 2))::INTEGER >> (3 - 5 * i % 4)::INTEGER) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM p JOIN f USING (hexed)
+"""

@@ -5,6 +5,7 @@ import random
 import struct
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from octetloom.llm import warc
@@ -82,3 +83,12 @@ def test_small_payloads_stay_and_no_rows(spark):
     got = warc.read_packages(warc.write_packages(pages, warc.shared_folder(spark), least_bytes=3)).collect()
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(1, "response", None), (2, "response", None), (3, "response", None), (4, "revisit", 3)]
     assert warc.read_packages(warc.write_packages(pages.where("false"), warc.shared_folder(spark))).count() == 0
+
+
+def test_a_task_that_runs_twice_replaces_nothing(tmp_path):
+    folder = f"file://{tmp_path}/packages"
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["u", None]), pa.array(["<p>x", ""]), pa.array([None, 1], pa.int64())], ["page_id", "url", "html", "first"])
+    one, two = (warc.write_package(iter([rows]), folder, 3) for _ in range(2))
+    assert one[0] != two[0] and one[1] == two[1] == 2
+    assert list(warc.records(one[0])) == list(warc.records(two[0]))
+    assert warc.write_package(iter([]), folder, 4) is None and len(list((tmp_path / "packages").iterdir())) == 2
