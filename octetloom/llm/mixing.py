@@ -3,10 +3,11 @@
 Every document, shuffled within its source, gets the virtual finish time
 ``(words of the source up to and with it) / (target words of the source)``; a
 source may be read up to ``max_epochs`` times over, each time adding its whole
-size. All copies in order of finish time, cut where the words reach the budget,
-are the mix. Prefix sums are taken level by level over prefixes of the shuffle
-key, and the cut is found by histograms of finish time, so that neither a hot
-source nor the global order ever meets in one task.
+size. All copies, sorted by finish time over the whole table and cut where the
+words reach the budget, are the mix. Both orders are range partitions: sums of
+the partitions before come to each row's own place in its partition, so that
+neither a hot source nor the global order, nor rows that share an id or have
+none, ever meet in one task.
 """
 
 from __future__ import annotations
@@ -19,10 +20,8 @@ from octetloom.session import spread
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-#: Rows that one task orders at a time, at most, but for ties.
-RUN_ROWS = 5_000
-FINAL_ROWS = 50_000
-BINS = 1024
+#: Counted rows up to this number may be ordered by one task.
+SMALL_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -34,86 +33,95 @@ def shuffle_key(doc_id: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
+def running(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str, str], n_rows: int) -> DataFrame:
+    """``rows`` with the sum of each column of ``sums`` (new name to column) over its group up to and with it, in ``order``.
+
+    ``by`` must not be null and ``order`` must be total. Beyond SMALL_ROWS the
+    table is range-partitioned by group and order; each partition adds up its own
+    rows of a group, and what comes before it are the sums of the partitions
+    ahead, of which a group has as many as there are partitions at most.
+    """
+    if n_rows <= SMALL_ROWS:
+        inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select("*", *(F.sum(c).over(inside).alias(name) for name, c in sums.items()))
+    cut = materialised(rows.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    parts = cut.groupBy(*by, "__part").agg(*(F.sum(c).alias(name) for name, c in sums.items()))
+    ahead = Window.partitionBy(*by).orderBy("__part")
+    parts = parts.select(*by, "__part", *((F.sum(name).over(ahead) - F.col(name)).alias(f"__{name}") for name in sums))
+    inside = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.select("*", *(F.sum(c).over(inside).alias(name) for name, c in sums.items())).join(parts, [*by, "__part"])
+    return out.select(*(F.col(c) for c in rows.columns), *((F.col(name) + F.col(f"__{name}")).alias(name) for name in sums))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row per source with ``source_size``, ``target`` and ``budget``.
+    """One row per source with its number ``n``, ``source_size``, ``target`` and ``budget``.
 
     Sources in code-point order, null last, weigh ``weights`` in turn and share
     all words; a target stops at ``max_epochs`` times its source's size and the
     excess is shared again by weight until none is above. Filled in one pass over
     the sources by rising ``max_epochs * size / weight``: those before the first
-    that stays below its cap are capped.
+    that stays below its cap are capped. An empty table has no sources.
     """
     w = F.element_at(F.array(*map(F.lit, weights)), ((F.col("n") - 1) % len(weights) + 1).cast("int")).cast("long")
-    src = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    src = src.withColumn("n", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).withColumn("weight", w)
-    order = Window.orderBy(max_epochs * F.col("source_size") / F.col("weight"), "n")
-    whole = Window.orderBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    src = (
-        src.withColumn("budget", F.sum("source_size").over(whole))
-        .withColumn("cap", max_epochs * F.col("source_size"))
-        .withColumn("capped", F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap"))
-        .withColumn("weights", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.col("budget") - F.col("capped")).cast("double") / F.col("weights"))
-        .withColumn("open", F.col("level") <= F.col("cap") / F.col("weight"))
-        .withColumn("level", F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("weight"), "n", "level"))).over(whole)["level"])
-    )
+    src = materialised(sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1).cast("long")))
+    n_src = src.count()
+    src = running(src, [], [F.col("source").asc_nulls_last()], {"n": "one"}, n_src).withColumn("weight", w)
+    src = materialised(src.withColumn("cap", max_epochs * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight")))
+    budget, all_weights = src.agg(F.sum("source_size"), F.sum("weight")).first()
+    src = running(src, [], [F.col("ratio"), F.col("n")], {"caps": "cap", "upto": "weight"}, n_src)
+    left = F.lit(budget).cast("long") - (F.col("caps") - F.col("cap"))
+    weights_left = F.lit(all_weights).cast("long") - (F.col("upto") - F.col("weight"))
+    src = materialised(src.withColumn("level", left.cast("double") / weights_left))
+    first = src.where(F.col("level") <= F.col("ratio")).agg(F.min(F.struct("ratio", "n", "level"))).first()[0]
     cap = F.col("cap").cast("double")
-    return src.select("source", "source_size", F.least(cap, F.coalesce(F.col("weight") * F.col("level"), cap)).alias("target"), "budget")
-
-
-def _positions(base: DataFrame, src: DataFrame, n_src: int, n_rows: int) -> DataFrame:
-    """``base`` with the words of its source up to and with each row, in shuffle order, and the source's target."""
-    digits = 1
-    while 16**digits * RUN_ROWS < n_rows:
-        digits += 1
-    coarse = min(digits, 3)
-    base = base.withColumn("p1", F.substring("key", 1, coarse)).withColumn("p2", F.substring("key", coarse + 1, max(1, digits - coarse)) if digits > coarse else F.lit(""))
-    runs = base.groupBy("source", "p1", "p2").agg(F.sum("size").alias("run"))
-    before = lambda c, *by: F.sum(c).over(Window.partitionBy(*by[:-1]).orderBy(by[-1])) - F.col(c)
-    tops = runs.groupBy("source", "p1").agg(F.sum("run").alias("top"))
-    tops = tops.withColumn("top_before", before("top", "source", "p1")).select(F.col("source").alias("ts"), F.col("p1").alias("tp"), "top_before")
-    runs = runs.withColumn("run_before", before("run", "source", "p1", "p2"))
-    runs = runs.join(tops, runs["source"].eqNullSafe(tops["ts"]) & (runs["p1"] == tops["tp"]))
-    src = src.select(F.col("source").alias("ss"), "source_size", "target")
-    runs = runs.join(broadcast_if_small(src, n_src), runs["source"].eqNullSafe(src["ss"]))
-    runs = runs.select(F.col("source").alias("rs"), F.col("p1").alias("r1"), F.col("p2").alias("r2"), (F.col("top_before") + F.col("run_before")).alias("before"), "source_size", "target")
-    inside = Window.partitionBy("source", "p1", "p2").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = base.withColumn("inside", F.sum("size").over(inside))
-    rows = rows.join(runs, rows["source"].eqNullSafe(runs["rs"]) & (rows["p1"] == runs["r1"]) & (rows["p2"] == runs["r2"]))
-    return rows.select("doc_id", "source", "size", "key", "source_size", "target", (F.col("before") + F.col("inside")).alias("upto"))
-
-
-def _cut(rows: DataFrame, budget: int, max_epochs: int) -> tuple[float, str, int, int] | None:
-    """The last copy of the mix as (finish, key, doc_id, epoch): histograms narrow down where the budget ends, and only that stretch is ordered."""
+    target = cap if first is None else F.least(cap, F.col("weight") * F.lit(first["level"]))
+    return src.select("source", "n", "source_size", target.alias("target"), F.lit(budget).cast("long").alias("budget"))
+
+
+def _finish(epoch: int | Column) -> Column:
+    return (epoch * F.col("source_size") + F.col("upto")) / F.col("target")
+
+
+def _place(epoch: int | Column) -> Column:
+    """Where a copy stands in the global order."""
+    return F.struct(_finish(epoch).alias("finish"), F.col("key").alias("key"), F.col("doc_id").alias("doc_id"), (F.lit(epoch) if isinstance(epoch, int) else epoch).alias("epoch"), F.col("n").alias("n"))
+
+
+def _last(rows: DataFrame, budget: int, max_epochs: int):
+    """The place of the last copy of the mix, or None: copies are range-sorted by place, and the partition in which the words reach the budget is read in order."""
     copies = rows.where((F.col("size") > 0) & (F.col("target") > 0)).withColumn("epoch", F.explode(F.array(*map(F.lit, range(max_epochs)))))
-    copies = copies.select("key", "doc_id", "size", "epoch", ((F.col("epoch") * F.col("source_size") + F.col("upto")) / F.col("target")).alias("finish"))
-    low, high, held = 0.0, copies.agg(F.max("finish")).first()[0], 0
-    if high is None:
+    copies = copies.select(_place(F.col("epoch")).alias("place"), "size", "row").repartitionByRange("place", "row")
+    copies = materialised(copies.withColumn("part", F.spark_partition_id()))
+    sums = copies.groupBy("part").agg(F.sum("size").alias("size"))
+    sums = sums.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("ahead"))
+    at = sums.where(F.col("ahead") <= budget).agg(F.max(F.struct("part", "ahead")).alias("m")).first()["m"]
+    if at is None:
         return None
-    part = copies
-    for _ in range(12):
-        width = (high - low) / BINS
-        if width <= 0 or low + width <= low:
-            break
-        spot = F.least(F.floor((F.col("finish") - low) / width), F.lit(BINS - 1))
-        found = sorted(part.groupBy(spot.alias("bin")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("finish").alias("low"), F.max("finish").alias("high")).collect())
-        for b in found:
-            if held + b["size"] > budget:
-                break
-            held += b["size"]
-        else:
-            low = high = found[-1]["high"]
-            part = copies.where(F.col("finish") >= low)
-            held -= part.agg(F.sum("size")).first()[0]
-            break
-        low, high = b["low"], b["high"]
-        part = copies.where(F.col("finish").between(low, high))
-        if b["n"] <= FINAL_ROWS:
-            break
-    order = Window.orderBy("finish", "key", "doc_id", "epoch")
-    ends = part.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) + held).where(F.col("upto") <= budget)
-    last = ends.agg(F.max(F.struct("finish", "key", "doc_id", "epoch")).alias("m")).first()["m"]
-    return tuple(last) if last else (low, "", -(1 << 63), -1)
+    order = Window.orderBy("place", "row").rowsBetween(Window.unboundedPreceding, 0)
+    ends = copies.where(F.col("part") == at["part"]).withColumn("upto", F.sum("size").over(order) + at["ahead"]).where(F.col("upto") <= budget)
+    last = ends.agg(F.max("place").alias("m")).first()["m"]
+    # Where the first copy of that partition is too much already, the one before it is the last.
+    return last or copies.where(F.col("part") < at["part"]).agg(F.max("place").alias("m")).first()["m"]
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: str, marked: bool) -> DataFrame:
+    """The rows of mix() with what places their copies; ``mark`` is a hash of id, source and text where asked for."""
+    mark = F.xxhash64("doc_id", "source", "text") if marked else F.lit(0).cast("long")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    base = base.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), seed).alias("key"), mark.alias("mark"))
+    # Rows alike in all that orders them are told apart by a number, which the checkpoint keeps.
+    base = materialised(base.withColumn("row", F.monotonically_increasing_id()))
+    src = materialised(targets(base, weights, max_epochs))
+    n_src, budget = src.agg(F.count("*"), F.max("budget")).first()
+    numbered = base.join(broadcast_if_small(src.select(F.col("source").alias("__source"), "n", "source_size", "target"), n_src), base["source"].eqNullSafe(F.col("__source"))).drop("__source")
+    rows = materialised(running(numbered, ["n"], [F.col(c) for c in ("key", "doc_id", "size", "row")], {"upto": "size"}, base.count()))
+    last = _last(rows, budget, max_epochs) if budget else None
+    if last is None:
+        copies = F.lit(0)
+    else:
+        end = F.struct(*(F.lit(last[c]).cast(t).alias(c) for c, t in (("finish", "double"), ("key", "string"), ("doc_id", "long"), ("epoch", "int"), ("n", "long"))))
+        copies = F.when((F.col("size") > 0) & (F.col("target") > 0), sum((_place(e) <= end).cast("int") for e in range(max_epochs))).otherwise(0)
+    return rows.withColumn("copies", copies.cast("int"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
@@ -126,41 +134,36 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     other; an empty table gives an empty result. The shuffle depends on doc_id
     and ``seed`` alone, so reruns agree. Other columns are ignored.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    base = materialised(base.withColumn("key", shuffle_key(F.col("doc_id"), seed)))
-    src = materialised(targets(base, weights, max_epochs))
-    n_src, budget = src.agg(F.count("*"), F.max("budget")).first()
-    rows = materialised(_positions(base, src, n_src, base.count()))
-    cut = _cut(rows, budget, max_epochs) if budget else None
-    if cut is None:
-        copies = F.lit(0)
-    else:
-        last = F.struct(F.lit(cut[0]).alias("f"), F.lit(cut[1]).alias("k"), F.lit(cut[2]).cast("long").alias("d"), F.lit(cut[3]).alias("e"))
-        one = lambda e: F.struct(((e * F.col("source_size") + F.col("upto")) / F.col("target")).alias("f"), F.col("key").alias("k"), F.col("doc_id").alias("d"), F.lit(e).alias("e")) <= last
-        copies = F.when((F.col("size") > 0) & (F.col("target") > 0), sum(one(e).cast("int") for e in range(max_epochs))).otherwise(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    rows = _mixed(docs, weights, max_epochs, seed, False)
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of ``docs``.
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with the columns of ``docs``, sorted by finish time.
 
-    Rows that repeat a doc_id are told apart by their number among equal
-    (doc_id, source, size).
+    Rows find their copies by a hash of doc_id, source and text. Rows alike in all
+    three are numbered on both sides; which of them stands for which makes no
+    difference but in columns that the mix doesn't know. Nulls and empty tables
+    are as in mix().
     """
-    taken = materialised(mix(docs, **how))
-    same = ["doc_id", "source", "size"]
-    n, distinct = taken.agg(F.count("*"), F.countDistinct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))))).first()
-    taken = taken.where("copies > 0")
-    if n == distinct:
-        out = docs.join(taken.select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies")), docs["doc_id"].eqNullSafe(F.col("__id")))
+    names = docs.columns
+    taken = materialised(_mixed(docs, weights, max_epochs, seed, True))
+    alike = materialised(taken.groupBy("mark").count().where("count > 1").select("mark"))
+    n_alike = alike.count()
+    place = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), _place)
+    places = taken.where("copies > 0").select("mark", "row", place.alias("__places"))
+    own = docs.withColumn("mark", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")))
+    if not n_alike:
+        out = own.join(places.drop("row"), "mark")
     else:
-        number = F.row_number().over(Window.partitionBy(*same).orderBy(F.desc("copies")))
-        taken = materialised(mix(docs, **how)).withColumn("__n", number).where("copies > 0")
-        taken = taken.select(*[F.col(c).alias(f"__{c}") for c in same], "__n", F.col("copies").alias("__copies"))
-        left = docs.withColumn("__size", word_count(F.col("text")))
-        left = left.withColumn("__m", F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text")))).withColumnRenamed("__size", "__own")
-        out = left.join(taken, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__size")) & (F.col("__m") == F.col("__n")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[out[c] for c in docs.columns])
+        one = F.lit(1).cast("long")
+        held = materialised(taken.join(alike, "mark", "left_semi").select("mark", "row", "copies", place.alias("__places")).withColumn("one", one))
+        held = running(held, ["mark"], [F.desc("copies"), F.col("row")], {"number": "one"}, held.count())
+        same = materialised(own.join(alike, "mark", "left_semi").withColumn("one", one).withColumn("__row", F.monotonically_increasing_id()))
+        same = running(same, ["mark"], [F.col("__row")], {"number": "one"}, same.count())
+        same = same.join(held.where("copies > 0").select("mark", "number", "__places"), ["mark", "number"])
+        out = own.join(alike, "mark", "left_anti").join(places.drop("row"), "mark").select(*names, "__places").unionByName(same.select(*names, "__places"))
+    return out.select(*names, F.explode("__places").alias("__place")).orderBy("__place").select(*names)
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:

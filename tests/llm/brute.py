@@ -85,6 +85,12 @@ def targets(sizes, weights=(5, 2, 1), epochs=3):
 
 def mix(docs, epochs=3):
     """{row number: copies} for rows (doc_id, source, text)."""
+    order = mix_order(docs, epochs)
+    return {i: order.count(i) for i in range(len(docs))}
+
+
+def mix_order(docs, epochs=3):
+    """The row numbers of the mix's copies by finish time."""
     import hashlib
 
     rows = [(i, d, s, len(words(t))) for i, (d, s, t) in enumerate(docs)]
@@ -97,10 +103,10 @@ def mix(docs, epochs=3):
         upto[s] += n
         if n:
             copies += [((e * total[s] + upto[s]) / target[s], key(d), d or 0, e, i, n) for e in range(epochs)]
-    out, held = dict.fromkeys(range(len(rows)), 0), 0
+    out, held = [], 0
     for *_, i, n in sorted(copies):
         if held + n > sum(total.values()):
             break
         held += n
-        out[i] += 1
+        out.append(i)
     return out

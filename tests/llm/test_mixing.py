@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from octetloom.llm import mixing
 from tests.llm import brute
@@ -18,11 +19,9 @@ def corpus(seed, sources):
     return [(i, rng.choice(sources), rng.choice(["", None, "w " * rng.randrange(1, 60), "\tx\n" * rng.randrange(1, 9)])) for i in range(150)]
 
 
-@pytest.mark.parametrize("sources,bins,final", [(["a"] * 6 + ["b", "é", None], 1024, 50_000), (["a", "b"], 4, 3), (["z"] * 20 + ["y"], 4, 1), (["only"], 1024, 50_000)])
-def test_mix_matches_brute_force(spark, monkeypatch, sources, bins, final):
-    monkeypatch.setattr(mixing, "BINS", bins)
-    monkeypatch.setattr(mixing, "FINAL_ROWS", final)
-    monkeypatch.setattr(mixing, "RUN_ROWS", 10)
+@pytest.mark.parametrize("sources,small", [(["a"] * 6 + ["b", "é", None], 20_000), (["a"] * 6 + ["b", "é", None], 0), (["a", "b"], 0), (["z"] * 20 + ["y"], 100), (["only"], 20_000)])
+def test_mix_matches_brute_force(spark, monkeypatch, sources, small):
+    monkeypatch.setattr(mixing, "SMALL_ROWS", small)
     docs = corpus(len(sources), sources)
     want = brute.mix(docs)
     total = Counter()
@@ -37,9 +36,36 @@ def test_mix_matches_brute_force(spark, monkeypatch, sources, bins, final):
     assert sum(r.taken for r in rows) <= sum(total.values())
 
 
+@pytest.mark.parametrize("small", [20_000, 0])
+def test_ids_that_are_null_or_repeated_are_split_and_mixed(spark, monkeypatch, small):
+    monkeypatch.setattr(mixing, "SMALL_ROWS", small)
+    rng = random.Random(1)
+    docs = [(rng.choice([None, None, 7, 8]), rng.choice("aab"), rng.choice(["x", "y y", "z z z", "q " * 9])) for _ in range(400)]
+    want = brute.mix(docs)
+    by = lambda pairs: Counter(pairs)
+    rows = mixing.mix(frame(spark, docs)).collect()
+    # Rows alike in id, source and words may stand for each other.
+    assert by((r.doc_id, r.source, r["size"], r.copies) for r in rows) == by((d, s, len(brute.words(t)), want[i]) for i, (d, s, t) in enumerate(docs))
+    out = mixing.mixed_documents(frame(spark, docs)).collect()
+    taken = by((docs[i][0], docs[i][1], docs[i][2]) for i in brute.mix_order(docs))
+    assert by((r.doc_id, r.source, r.text) for r in out) == taken
+
+
+def test_a_group_meets_in_no_single_task(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SMALL_ROWS", 0)
+    rows = spark.range(4000).selectExpr("0L AS n", "'k' AS key", "cast(null AS long) AS doc_id", "1L AS size", "id AS row")
+    out = mixing.running(rows, ["n"], [F.col(c) for c in ("key", "doc_id", "size", "row")], {"upto": "size"}, 4000)
+    assert out.where("upto <> row + 1").count() == 0 and out.count() == 4000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    cut = rows.repartitionByRange("n", "key", "doc_id", "size", "row").groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(cut) == 4 and max(r["count"] for r in cut) < 2000
+
+
 def test_mixed_documents_repeat_rows(spark):
     docs = corpus(5, ["a", "b", "c"])
     want = Counter({i: n for i, n in brute.mix(docs).items() if n})
+    assert [r.doc_id for r in mixing.mixed_documents(frame(spark, docs)).collect()] == brute.mix_order(docs)
     out = mixing.mixed_documents(frame(spark, docs))
     assert out.columns == ["doc_id", "text", "source", "size", "copies"]
     texts = {d: t for d, _, t in docs}
