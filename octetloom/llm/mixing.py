@@ -88,20 +88,34 @@ def _place(epoch: int | Column) -> Column:
 
 
 def _last(rows: DataFrame, budget: int, max_epochs: int):
-    """The place of the last copy of the mix, or None: copies are range-sorted by place, and the partition in which the words reach the budget is read in order."""
+    """The place of the last copy of the mix, or None.
+
+    All copies are range-sorted by place and the partition in which the words
+    reach the budget is sorted again, until one task may read it in order.
+    """
     copies = rows.where((F.col("size") > 0) & (F.col("target") > 0)).withColumn("epoch", F.explode(F.array(*map(F.lit, range(max_epochs)))))
-    copies = copies.select(_place(F.col("epoch")).alias("place"), "size", "row").repartitionByRange("place", "row")
-    copies = materialised(copies.withColumn("part", F.spark_partition_id()))
-    sums = copies.groupBy("part").agg(F.sum("size").alias("size"))
-    sums = sums.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("ahead"))
-    at = sums.where(F.col("ahead") <= budget).agg(F.max(F.struct("part", "ahead")).alias("m")).first()["m"]
-    if at is None:
-        return None
+    part, held, passed = copies.select(_place(F.col("epoch")).alias("place"), "size", "row"), 0, []
+    n = max_epochs * rows.count()
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while n > SMALL_ROWS:
+        cut = materialised(part.repartitionByRange(max(2, min(most, n // SMALL_ROWS + 1)), "place", "row").withColumn("part", F.spark_partition_id()))
+        sums = cut.groupBy("part").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        sums = sums.select("part", "n", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("ahead"))
+        at = sums.where(F.col("ahead") + held <= budget).agg(F.max(F.struct("part", "ahead", "n")).alias("m")).first()["m"]
+        if at is None:
+            return None
+        passed.append(cut.where(F.col("part") < at["part"]))
+        part, held, before, n = cut.where(F.col("part") == at["part"]).drop("part"), held + at["ahead"], n, at["n"]
+        if n == before:
+            break
     order = Window.orderBy("place", "row").rowsBetween(Window.unboundedPreceding, 0)
-    ends = copies.where(F.col("part") == at["part"]).withColumn("upto", F.sum("size").over(order) + at["ahead"]).where(F.col("upto") <= budget)
-    last = ends.agg(F.max("place").alias("m")).first()["m"]
-    # Where the first copy of that partition is too much already, the one before it is the last.
-    return last or copies.where(F.col("part") < at["part"]).agg(F.max("place").alias("m")).first()["m"]
+    ends = part.withColumn("upto", F.sum("size").over(order) + held).where(F.col("upto") <= budget)
+    # Where the first copy of the last partition is too much already, the one before it is the last.
+    for some in [ends, *passed[::-1]]:
+        last = some.agg(F.max("place").alias("m")).first()["m"]
+        if last is not None:
+            return last
+    return None
 
 
 def _mixed(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: str, marked: bool) -> DataFrame:
