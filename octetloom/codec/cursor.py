@@ -116,6 +116,10 @@ class Cursor:
         self.offset = stop - self.start + (len(needle) if at >= 0 else 0)
         return out, at >= 0
 
+    def finish(self, width: int, total: int) -> None:
+        """To the end of a table of ``total`` records that starts here, or to the end of the bytes if they stop before."""
+        self.skip(min(width * total, self.remaining))
+
     def records(self, read: Callable[[Cursor], object], width: int | None = None, first: int = 0, count: int | None = None) -> Iterator[object]:
         """Records from number ``first`` on, ``count`` of them or to the end; those of known width are jumped over, others read and dropped."""
         if width is not None:

@@ -9,6 +9,7 @@ bytes back. A copy may overlap what it writes.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 from octetloom.codec.cursor import Cursor
@@ -67,13 +68,22 @@ def copied(out: bytearray, distance: int, length: int) -> None:
         out += (piece * (length // distance + 1))[:length]
 
 
-def parse(c: Cursor, size: int | None, ops: list | None = None, out: bytearray | None = None) -> bytearray | None:
-    """Reads blocks until ``size`` decoded bytes (or the end, if None) have come; fills ``ops`` and ``out`` where given."""
+def parse(c: Cursor, size: int | None, ops: list | None = None, out: bytearray | None = None, starts: list | None = None, keep_from: int = 0, reached: list | None = None) -> bytearray | None:
+    """Reads blocks until ``size`` decoded bytes (or the end, if None) have come; fills ``ops`` and ``out`` where given.
+
+    ``starts`` gets the packed and decoded offset of each block, ``reached`` the
+    number of decoded bytes. Those before ``keep_from`` stay in ``out`` only as
+    long as copies may reach them.
+    """
     raw, at, end = c.data, c.start + c.offset, c.end
     done, block = 0, 0
     while size is None and at < end or size is not None and done < size:
         if at >= end:
             break
+        if starts is not None:
+            starts.append((at - c.start, done))
+        if out is not None and len(out) > 16 * HISTORY and done < keep_from:
+            del out[:-HISTORY]
         bits, at = raw[at], at + 1
         for i in range(OPS_PER_BLOCK):
             if size is not None and done >= size or at >= end and size is None:
@@ -99,6 +109,8 @@ def parse(c: Cursor, size: int | None, ops: list | None = None, out: bytearray |
             done += length
         block += 1
     c.offset = at - c.start
+    if reached is not None:
+        reached[0] = done
     if size is not None and done < size:
         raise DecodeError("truncated", "yaz0.blocks", c.place, size, done, c.path)
     return out
@@ -124,12 +136,15 @@ def decode_range(data: bytes, offset: int, length: int, endian: str = "BE", limi
         raise DecodeError("out_of_bounds", "yaz0.data", offset, length, size)
     if offset + length > limit:
         raise c.fail("output_too_large", "yaz0.header", offset + length)
-    return bytes(parse(c, offset + length, None, bytearray())[offset : offset + length])
+    out, reached = bytearray(), [0]
+    parse(c, offset + length, None, out, keep_from=offset, reached=reached)
+    from_end = reached[0] - offset
+    return bytes(out[len(out) - from_end : len(out) - from_end + length]) if length else b""
 
 
-def longest_match(data: bytes, at: int, history: int = HISTORY) -> tuple[int, int]:
-    """(distance, length) of the longest earlier run equal to what comes at ``at``; of equal lengths the greatest distance; (0, 0) below three bytes."""
-    size = len(data)
+def longest_match(data: bytes, at: int, history: int = HISTORY, end: int | None = None) -> tuple[int, int]:
+    """(distance, length) of the longest earlier run equal to what comes at ``at`` (before ``end``); of equal lengths the greatest distance; (0, 0) below three bytes."""
+    size = len(data) if end is None else end
     most = min(LONGEST, size - at)
     if most < SHORTEST:
         return 0, 0
@@ -170,11 +185,11 @@ def packed_ops(ops: list[tuple[int | None, int, int]]) -> bytes:
     return bytes(out)
 
 
-def compressed_ops(data: bytes) -> list[tuple[int | None, int, int]]:
-    """Greedy operations: the longest match at each place, else a literal."""
-    at, ops = 0, []
-    while at < len(data):
-        distance, length = longest_match(data, at)
+def compressed_ops(data: bytes, at: int = 0, end: int | None = None) -> list[tuple[int | None, int, int]]:
+    """Greedy operations for the bytes from ``at`` to ``end``: the longest match at each place, else a literal."""
+    ops, end = [], len(data) if end is None else end
+    while at < end:
+        distance, length = longest_match(data, at, HISTORY, end)
         if length:
             ops.append((None, distance, length))
             at += length
@@ -189,9 +204,119 @@ def encode(data: bytes, alignment: int = 0, endian: str = "BE") -> bytes:
     return Header(len(data), alignment).pack(endian) + packed_ops(compressed_ops(data))
 
 
+Op = tuple[int | None, int, int]  # literal byte or None, distance, length
+
+
+def split_ops(ops: list[Op], at: int, before: bytes) -> tuple[list[Op], list[Op]]:
+    """Operations cut at decoded offset ``at``, after ``before``. A copy that is cut in two stays a copy on a side where it has three bytes, else becomes literals."""
+    left, right, done, text = [], [], 0, bytearray(before[-HISTORY:])
+    for literal, distance, length in ops:
+        if literal is not None:
+            text.append(literal)
+        else:
+            copied(text, distance, length)
+        if done + length <= at:
+            left.append((literal, distance, length))
+        elif done >= at:
+            right.append((literal, distance, length))
+        else:
+            for side, a, b in ((left, 0, at - done), (right, at - done, length)):
+                side += [(None, distance, b - a)] if b - a >= SHORTEST else [(x, 0, 1) for x in text[len(text) - length + a : len(text) - length + b]]
+        done += length
+    return left, right
+
+
+def inflated(ops: list[Op], count: int, before: bytes) -> list[Op] | None:
+    """The same bytes in exactly ``count`` operations, by putting first bytes of copies down as literals; None where there are too few copies."""
+    out, more, text = [], count - len(ops), bytearray(before[-HISTORY:])
+    for literal, distance, length in ops:
+        if literal is not None:
+            text.append(literal)
+            out.append((literal, 0, 1))
+            continue
+        copied(text, distance, length)
+        own = text[len(text) - length :]
+        cut = max(0, min(more, length - SHORTEST))
+        # A copy of three bytes can only become three literals, which is two operations more.
+        if more - cut >= 2:
+            cut = length if more >= length - 1 else cut
+        out += [(x, 0, 1) for x in own[:cut]] + ([(None, distance, length - cut)] if cut < length else [])
+        more -= cut if cut < length else length - 1
+    return out if more == 0 else None
+
+
+def ops_of(data: bytes, endian: str = "BE", limit: int = OUTPUT_LIMIT) -> tuple[Header, list[list[Op]], bytes]:
+    """The header, the operations of each block and the decoded bytes, a last copy's overshoot included."""
+    c = Cursor(data, endian)
+    header = read_header(c)
+    if header.decompressed_size > limit:
+        raise c.fail("output_too_large", "yaz0.header", header.decompressed_size)
+    ops: list = []
+    out = parse(c.named("blocks"), header.decompressed_size, ops, bytearray())
+    blocks: list[list[Op]] = []
+    for block, _, literal, distance, length, _ in ops:
+        if block == len(blocks):
+            blocks.append([])
+        blocks[block].append((literal, distance, length))
+    return header, blocks, bytes(out)
+
+
+def with_blocks(data: bytes, first: int, count: int, ops: list[Op], endian: str = "BE") -> bytes:
+    """The file with ``count`` blocks from number ``first`` on replaced by operations; all others and their bytes stay.
+
+    Only the last block of a file may be short, so that elsewhere ``ops`` must
+    fill whole blocks. The size in the header follows.
+    """
+    header, blocks, out = ops_of(data, endian)
+    if first < 0 or count < 0 or first + count > len(blocks):
+        raise DecodeError("out_of_bounds", "yaz0.blocks", first, count, len(blocks))
+    if len(ops) % OPS_PER_BLOCK and first + count < len(blocks):
+        raise DecodeError("short_block", "yaz0.blocks", first, len(ops))
+    old = sum(n for b in blocks[first : first + count] for *_, n in b)
+    starts: list = []
+    c = Cursor(data, endian)
+    read_header(c)
+    parse(c, header.decompressed_size, None, None, starts)
+    ends = [at for at, _ in starts] + [len(data)]
+    size = header.decompressed_size - old + sum(n for *_, n in ops) + (len(out) - header.decompressed_size if first + count == len(blocks) else 0)
+    return Header(size, header.alignment, header.unused).pack(endian) + data[HEADER_SIZE : ends[first]] + packed_ops(ops) + data[ends[first + count] :]
+
+
 def splice(data: bytes, offset: int, length: int, new: bytes, endian: str = "BE", limit: int = OUTPUT_LIMIT) -> bytes:
-    """The file with ``length`` decoded bytes at ``offset`` replaced."""
-    old = decode(data, endian, limit)
-    if offset < 0 or length < 0 or offset + length > len(old.data):
-        raise DecodeError("out_of_bounds", "yaz0.overwrite", offset, length, len(old.data))
-    return encode(old.data[:offset] + new + old.data[offset + length :], old.header.alignment, endian)
+    """The file with ``length`` decoded bytes at ``offset`` replaced.
+
+    Only blocks from the edit's to the last one with a copy from before the
+    edit's end, 4096 bytes beyond it at most, are encoded anew: those before and
+    behind stay as they are. Where the new operations can't be made to fill whole
+    blocks, all that follows is encoded anew.
+    """
+    c = Cursor(data, endian)
+    header = read_header(c)
+    if header.decompressed_size > limit:
+        raise c.fail("output_too_large", "yaz0.header", header.decompressed_size)
+    ops, starts, size = [], [], header.decompressed_size
+    old = bytes(parse(c.named("blocks"), size, ops, bytearray(), starts)[:size])
+    end = offset + length
+    if offset < 0 or length < 0 or end > size:
+        raise DecodeError("out_of_bounds", "yaz0.overwrite", offset, length, size)
+    text = old[:offset] + new + old[end:]
+    packed = Header(len(text), header.alignment, header.unused).pack(endian)
+    if not starts:
+        return packed + packed_ops(compressed_ops(text))
+    first = max(0, bisect_right([d for _, d in starts], offset) - 1)
+    last = first
+    for block, _, literal, distance, n, at in ops[first * OPS_PER_BLOCK :]:
+        if at > end + HISTORY:
+            break
+        if at < end or literal is None and at - distance < end:
+            last = block
+    behind = last + 1
+    fresh = None
+    if behind < len(starts):
+        stop = starts[behind][1] + len(new) - length
+        fresh = compressed_ops(text, starts[first][1], stop)
+        fresh = inflated(fresh, -(-len(fresh) // OPS_PER_BLOCK) * OPS_PER_BLOCK, text[: starts[first][1]])
+    head = packed + data[HEADER_SIZE : starts[first][0]]
+    if fresh is None:
+        return head + packed_ops(compressed_ops(text, starts[first][1]))
+    return head + packed_ops(fresh) + data[starts[behind][0] :]

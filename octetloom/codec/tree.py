@@ -105,7 +105,7 @@ def table_strings(data: bytes, which: str = "key", binary_table: bool = False) -
     count = c.get("u24")
     offsets = [c.get("u32") for _ in range(count + 1)]
     for i in range(count):
-        c.seek(min(at + offsets[i], len(c)) if at + offsets[i] <= len(c) else at + offsets[i])
+        c.seek(at + offsets[i])
         raw, ended = c.until()
         yield i, offsets[i], raw, ended
 

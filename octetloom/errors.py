@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import TypeVar
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from octetloom.schemas import ERROR
 
+T = TypeVar("T")
+
 #: Every code that a decoder may return.
 MESSAGES = {
     "out_of_bounds": "the range leaves its container",
@@ -24,6 +28,7 @@ MESSAGES = {
     "index_out_of_range": "the table has no such entry",
     "truncated": "the compressed data ends early",
     "seekback_out_of_bounds": "a back-reference reaches before the first byte",
+    "short_block": "only the last block may hold fewer operations",
     "output_too_large": "the declared size is above the limit",
     "bad_header_length": "the header has another length",
     "zero_sequence": "a name attribute has sequence 0",
@@ -33,7 +38,9 @@ MESSAGES = {
 
 
 class DecodeError(ValueError):
-    """An error of strict mode; carries its code and place."""
+    """An error of strict mode; carries its code and place, and the context that annotate() adds."""
+
+    context: Context | None = None
 
     def __init__(self, code: str, component: str = "", offset: int | None = None, length: int | None = None, stream_length: int | None = None, path: tuple = ()) -> None:
         self.code, self.component, self.offset, self.length, self.stream_length, self.path = code, component, offset, length, stream_length, path
@@ -61,6 +68,19 @@ def strict(result: Column) -> Column:
     return F.when(result["error"].isNull(), result["value"]).otherwise(F.raise_error(F.concat_ws(": ", result["error"]["component"], result["error"]["code"])))
 
 
+def annotated(result: Column, note: str, value: Column | None = None, when: Column | None = None) -> Column:
+    """The result with a note added to its error, if it has one: ``note`` alone or with a value, only where ``when`` holds. A note without its value says so."""
+    text = F.lit(note) if value is None else F.concat(F.lit(f"{note}: "), F.coalesce(value.cast("string"), F.lit(UNKNOWN)))
+    place = result["error"]["component"]
+    said = F.concat(place, F.lit(" ("), text, F.lit(")"))
+    said = said if when is None else F.when(when, said).otherwise(place)
+    return F.when(result["error"].isNull(), result).otherwise(result.withField("error.component", said))
+
+
+#: What stands for a note's value that could not be had.
+UNKNOWN = "unknown"
+
+
 @dataclass
 class Context:
     """Notes that go with an error when known, and a flag when some are not."""
@@ -70,9 +90,26 @@ class Context:
     def note(self, name: str, value: object | None) -> Context:
         return Context({**self.notes, name: value})
 
+    def note_if(self, condition: bool, name: str, value: object | None) -> Context:
+        """A note only where the condition holds."""
+        return self.note(name, value) if condition else self
+
+    def note_or(self, name: str, value: object | None, otherwise: object) -> Context:
+        """A note with something else to say where its value is not known."""
+        return self.note(name, otherwise if value is None else value)
+
     def any_missing(self) -> bool:
         return any(v is None for v in self.notes.values())
 
     def lines(self) -> list[str]:
         known = [f"{k}: {v}" for k, v in self.notes.items() if v is not None]
         return known + ["some diagnostics failed to load"] * self.any_missing()
+
+
+def annotate(call: Callable[..., T], *args, note: Callable[[DecodeError], Context] | Context) -> T:
+    """The value of a call; its error gets the context, which is only built where there is one."""
+    try:
+        return call(*args)
+    except DecodeError as e:
+        e.context = note(e) if callable(note) else note
+        raise

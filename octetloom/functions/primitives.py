@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, FloatType
 
+from octetloom.functions.slices import written
+
 #: Width in bytes and Spark type.
 TYPES = {
     "u8": (1, "smallint"), "i8": (1, "tinyint"), "u16": (2, "int"), "i16": (2, "smallint"), "u24": (3, "int"), "u32": (4, "bigint"), "i32": (4, "int"),
@@ -66,12 +68,22 @@ def decode(b: Column, kind: str, endian: str | Column = "BE") -> Column:
         return (_bits_f32 if kind == "f32" else _bits_f64)(big)
     if n == 16:
         return big
-    number = F.conv(F.hex(big), 16, 10).cast("decimal(20,0)")
+    number = F.conv(F.hex(big), 16, 10)
+    if n < 8:
+        number = number.cast("bigint")
+        top = F.lit(1 << (8 * n - 1))
+        return (number.bitwiseXOR(top) - top if kind[0] == "i" else number).cast(spark)
+    number = number.cast("decimal(20,0)")
     if kind[0] == "i":
         number = F.when(number >= F.lit(Decimal(1 << (8 * n - 1))), number - F.lit(Decimal(1 << (8 * n)))).otherwise(number)
     return number.cast(spark)
 
 
+def put(b: Column, position: int | Column, value: Column, kind: str, endian: str | Column = "BE") -> Column:
+    """struct<bytes, position> after a primitive is written at a cursor, which moves behind it."""
+    return written(b, position, encode(value, kind, endian))
+
+
 @F.arrow_udf(BinaryType())
 def _f32_bits(v: pa.Array) -> pa.Array:
     return _own_bits(v, 4, pa.float32())

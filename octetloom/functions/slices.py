@@ -6,6 +6,8 @@ return the new position or an error; edits return new bytes or an error.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,3 +103,39 @@ def until(b: Column, needle: Column, start: int | Column = 0) -> Column:
     rest = _cut(b, start)
     at = F.position(needle, rest)
     return F.struct(F.when(at > 0, F.substring(rest, F.lit(1), at - 1)).otherwise(rest).alias("value"), (at > 0).alias("terminated"))
+
+
+def edited_window(b: Column, start: int | Column, size: int | Column, edit: Callable[[Column], Column]) -> Column:
+    """The bytes with a window of them edited in place: ``edit`` gets the window and returns as many bytes. One of another length is an error."""
+    start, size = _col(start), _col(size)
+    new = edit(_cut(b, start, size))
+    whole = F.concat(_cut(b, F.lit(0), start), new, _cut(b, start + size))
+    return either(outside(start, size, F.length(b)) | (F.length(new) != size), whole, error("out_of_bounds", "window", start, size, F.length(b)))
+
+
+def written(b: Column, position: int | Column, data: Column) -> Column:
+    """struct<bytes, position> after ``data`` is written over as many bytes at a cursor, which moves behind it."""
+    position = _col(position)
+    edit = mutated(b, position, data)
+    after = F.struct(edit["value"].alias("bytes"), (position + F.length(data)).cast("bigint").alias("position"))
+    return F.struct(edit["ok"].alias("ok"), F.when(edit["ok"], after).alias("value"), edit["error"].alias("error"))
+
+
+def part_edited(b: Column, at: int | Column, head: Callable[[Column], Column] | None = None, tail: Callable[[Column], Column] | None = None) -> Column:
+    """The bytes cut at ``at``, either half edited, and joined again. The head keeps its length; the tail may change it."""
+    at = _col(at)
+    left, right = _cut(b, F.lit(0), at), _cut(b, at)
+    new = head(left) if head else left
+    whole = F.concat(new, tail(right) if tail else right)
+    return either(outside(0, at, F.length(b)) | (F.length(new) != at), whole, error("out_of_bounds", "partition", at, None, F.length(b)))
+
+
+def tail_resized(b: Column, at: int | Column, size: int | Column) -> Column:
+    """The bytes with all from ``at`` on made ``size`` long: zeros added or the end dropped."""
+    at, size = _col(at), _col(size)
+    return resized(b, at, F.greatest(F.length(b) - at, F.lit(0)), size)
+
+
+def table_end(start: int | Column, width: int, total: int | Column, length: Column) -> Column:
+    """Where a table of ``total`` records of ``width`` bytes ends, or the end of the bytes if they stop before."""
+    return F.least(_col(start) + _col(total) * width, length).cast("bigint")

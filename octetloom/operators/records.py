@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,9 @@ def records(
     n = F.floor((F.length(content) - start) / width).cast("int")
     last = n if count is None else F.when(n.isNotNull(), F.least(n, F.lit(first + count)))
     idx = F.when(last > first, F.sequence(F.lit(first), last - 1))
-    out = rows.withColumn("idx", F.explode(idx)).withColumn("__record", _cut(F.col(content), start + F.col("idx") * width, F.lit(width)))
+    # Each record is cut out before rows multiply, so that no copy of the content goes with them.
+    cut = F.transform(idx, lambda i: F.struct(i.alias("idx"), _cut(F.col(content), start + i * width, F.lit(width)).alias("__record")))
+    out = rows.select(*(c for c in rows.columns if c != content), F.inline(cut))
     at = 0
     cols = []
     for name, kind in fields.items():
@@ -41,6 +43,38 @@ def records(
     return out.select(*(c for c in rows.columns if c != content), "idx", *cols)
 
 
+def edited(content: Column, fields: Mapping[str, str], changes: Mapping[str, Callable[[Column], Column]], endian: str = "BE", first: int = 0, count: int | None = None) -> Column:
+    """The bytes with fields of their records changed in place: each record is decoded as far as needed, edited and encoded again.
+
+    ``changes`` maps a field to a function of its value. Records outside ``first``
+    and ``count``, other fields and bytes left over at the end stay.
+    """
+    widths = {k: P.TYPES[t][0] for k, t in fields.items()}
+    width = sum(widths.values())
+    n = F.floor(F.length(content) / width).cast("int")
+    last = n if count is None else F.least(n, F.lit(first + count))
+
+    def one(i: Column) -> Column:
+        at, parts = i * width, []
+        for name, kind in fields.items():
+            raw = _cut(content, at, F.lit(widths[name]))
+            parts.append(P.encode(changes[name](P.decode(raw, kind, endian)), kind, endian) if name in changes else raw)
+            at = at + widths[name]
+        return F.hex(F.concat(*parts))
+
+    begin = F.least(n, F.lit(first))
+    middle = F.when(last > begin, F.unhex(F.array_join(F.transform(F.sequence(begin, last - 1), one), ""))).otherwise(F.lit(b""))
+    return F.concat(_cut(content, F.lit(0), begin * width), middle, _cut(content, F.greatest(last, begin) * width))
+
+
+def viewed(rows: DataFrame, content: str, fields: Mapping[str, str], endian: str | Column = "BE", start: int = 0) -> DataFrame:
+    """Records as ``value`` structs beside the place that each was read from: ``offset`` and ``size``, so that an edit can go back there."""
+    width = sum(P.TYPES[k][0] for k in fields.values())
+    out = records(rows, content, fields, endian, start=start)
+    keep = [c for c in out.columns if c not in fields]
+    return out.select(*keep, (F.lit(start) + F.col("idx") * width).cast("bigint").alias("offset"), F.lit(width).alias("size"), F.struct(*fields).alias("value"))
+
+
 #: The entry of an archive's table.
 ENTRY_FIELDS = {"filename_hash": "u32", "attributes": "u32", "start_offset": "u32", "end_offset": "u32"}
 

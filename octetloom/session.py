@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -36,3 +37,22 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, as a URI, below the one that all executors share; below a local one only in a local session that names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="octetloom-")
+    base = base if ":/" in base else f"file://{base}"
+    return base.rstrip("/").replace("file:///", "file:/").replace("file:/", "file:///", 1) + f"/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder, their lineage and plan cut."""
+    sc = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)

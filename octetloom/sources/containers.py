@@ -4,20 +4,25 @@
     spark.read.format("yaz0").load("/data/*.szs")
     spark.read.format("records").option("fields", "a:u32,b:u16").load("/data/table.bin")
 
-One file is one split. Paths are local or on a mount that all executors share;
-for any other store read ``binaryFile`` and use the operators on its content.
+Paths are local, or URIs of any store that ``pyarrow.fs`` knows and all
+executors reach (``file:``, ``hdfs:``, ``s3:``, ``gs:``); their last part may be
+a pattern, and a folder stands for its files. A compressed file or container is
+one split; tables of records are split by ranges, which are all that is read.
+For any other store read ``binaryFile`` and use the operators on its content.
 """
 
 from __future__ import annotations
 
-import glob
 import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
+from fnmatch import fnmatch
 
+from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from octetloom.codec import archive, lz, tree
 from octetloom.codec.cursor import Cursor
@@ -35,12 +40,28 @@ class Written(WriterCommitMessage):
     paths: list[tuple[str, str]]
 
 
+def _store(spec: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a path or URI, and the path in it."""
+    if ":/" in spec:
+        return pafs.FileSystem.from_uri(spec)
+    return pafs.LocalFileSystem(), os.path.abspath(spec)
+
+
 def _paths(options) -> list[str]:
+    """The files that the option ``path`` names, as they are named there (a URI stays one)."""
     spec = options.get("path", "")
-    spec = spec.removeprefix("file://")
-    if os.path.isdir(spec):
-        spec = os.path.join(spec, "*")
-    return sorted(p for p in glob.glob(spec) if os.path.isfile(p))
+    if not spec:
+        return []
+    store, path = _store(spec)
+    head = spec[: len(spec) - len(path)] if spec.endswith(path) else spec.partition(":")[0] + "://" if ":/" in spec else ""
+    folder, _, pattern = path.rpartition("/")
+    info = store.get_file_info(path)
+    if info.type == pafs.FileType.File:
+        return [head + path]
+    if info.type == pafs.FileType.Directory:
+        folder, pattern = path, "*"
+    found = store.get_file_info(pafs.FileSelector(folder or "/", allow_not_found=True))
+    return sorted(head + f.path for f in found if f.type == pafs.FileType.File and fnmatch(f.base_name, pattern) and not f.base_name.startswith((".", "_")))
 
 
 class _FileReader(DataSourceReader):
@@ -62,7 +83,8 @@ class _FileReader(DataSourceReader):
     def read(self, partition: File) -> Iterator[tuple]:
         if not partition.path:
             return
-        with open(partition.path, "rb") as f:
+        store, path = _store(partition.path)
+        with store.open_input_file(path) as f:
             raw = f.read()
         try:
             yield from self.rows(partition.path, raw)
@@ -151,28 +173,24 @@ def _fields(options) -> list[tuple[str, str]]:
 
 
 class _RecordReader(DataSourceReader):
-    """Fixed-width records; ranges of ``idx`` in filters become byte ranges, and splits are ``split_records`` long."""
+    """Fixed-width records, in splits of ``split_records``; options ``first`` and ``count`` pick records by number, and only their bytes are read.
+
+    Filters are not pushed into the reader: Spark keeps a Python reader with the
+    filters of one query for the next query over the same DataFrame, which may
+    have none.
+    """
 
     def __init__(self, options) -> None:
         self.options, self.files, self.fields = options, _paths(options), _fields(options)
         self.width = sum(TYPES[k][0] for _, k in self.fields)
-        self.low, self.high = 0, None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if getattr(f, "attribute", None) == ("idx",) and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual):
-                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
-                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
-                    high = f.value + (not isinstance(f, LessThan))
-                    self.high = high if self.high is None else min(self.high, high)
-            else:
-                yield f
+        self.low = int(options.get("first", "0"))
+        self.high = self.low + int(options["count"]) if "count" in options else None
 
     def partitions(self):
         step, out = int(self.options.get("split_records", "1000000")), []
         for p in self.files:
-            n = os.path.getsize(p) // self.width
+            store, path = _store(p)
+            n = store.get_file_info(path).size // self.width
             high = n if self.high is None else min(n, self.high)
             out += [_Range(p, a, min(a + step, high)) for a in range(self.low, high, step)]
         return out or [_Range("", 0, 0)]
@@ -180,12 +198,21 @@ class _RecordReader(DataSourceReader):
     def read(self, partition):
         if not partition.path:
             return
-        with open(partition.path, "rb") as f:
-            f.seek(partition.first * self.width)
-            raw = f.read((partition.last - partition.first) * self.width)
+        store, path = _store(partition.path)
+        with store.open_input_file(path) as f:
+            raw = f.read_at((partition.last - partition.first) * self.width, partition.first * self.width)
         c = Cursor(raw, self.options.get("endian", "BE"))
         for i in range(partition.first, partition.first + len(raw) // self.width):
-            yield (partition.path, i, *(c.get(k) if TYPES[k][1] != "binary" else c.read(16) for _, k in self.fields))
+            yield (partition.path, i, *(self.value(c, k) for _, k in self.fields))
+
+    @staticmethod
+    def value(c: Cursor, kind: str):
+        if kind == "u64":
+            return Decimal(c.get(kind))
+        if TYPES[kind][1] == "binary":
+            raw = c.read(16)
+            return raw if c.endian == "BE" else raw[::-1]
+        return c.get(kind)
 
 
 @dataclass
@@ -203,46 +230,61 @@ class RecordSource(DataSource):
         return "records"
 
     def schema(self) -> str:
-        kinds = {"decimal(20,0)": "bigint"}
-        return "path string, idx bigint, " + ", ".join(f"`{n}` {kinds.get(TYPES[k][1], TYPES[k][1])}" for n, k in _fields(self.options))
+        return "path string, idx bigint, " + ", ".join(f"`{n}` {TYPES[k][1]}" for n, k in _fields(self.options))
 
     def reader(self, schema) -> DataSourceReader:
         return _RecordReader(self.options)
 
 
 class _FileWriter(DataSourceWriter):
-    """Writes rows (name, data) as files: under temporary names in tasks, renamed when the job commits."""
+    """Writes rows (name, data) as files: under temporary names in tasks, moved when the job commits.
+
+    In mode ``overwrite`` the files that were there before and are not written
+    again go at commit; without it a folder that holds files is an error.
+    """
 
     def __init__(self, options, overwrite: bool, encode) -> None:
-        self.folder, self.encode = options["path"].removeprefix("file://"), encode
-        if os.path.isdir(self.folder) and os.listdir(self.folder) and not overwrite:
+        self.folder, self.overwrite, self.encode = options["path"], overwrite, encode
+        if self.there() and not overwrite:
             raise FileExistsError(self.folder)
 
+    def there(self) -> list[str]:
+        store, folder = _store(self.folder)
+        return [f.path for f in store.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if f.type == pafs.FileType.File and not f.base_name.startswith(".")]
+
     def write(self, rows) -> Written:
-        os.makedirs(self.folder, exist_ok=True)
+        store, folder = _store(self.folder)
+        store.create_dir(folder, recursive=True)
         done = []
         for row in rows:
             name = os.path.basename(row["name"])
-            own = os.path.join(self.folder, f".{name}.{uuid.uuid4().hex}")
-            with open(own, "wb") as f:
+            own = f"{folder}/.{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(own) as f:
                 f.write(self.encode(bytes(row["data"])))
-            done.append((own, os.path.join(self.folder, name)))
+            done.append((own, f"{folder}/{name}"))
         return Written(done)
 
     def commit(self, messages) -> None:
-        for m in messages:
-            for own, final in m.paths:
-                os.replace(own, final)
+        store, _ = _store(self.folder)
+        before = set(self.there())
+        written = [pair for m in messages if m for pair in m.paths]
+        for own, final in written:
+            if final in before:
+                store.delete_file(final)
+                before.discard(final)
+            store.move(own, final)
+        for stale in before - {final for _, final in written} if self.overwrite else ():
+            store.delete_file(stale)
 
     def abort(self, messages) -> None:
+        store, _ = _store(self.folder)
         for m in messages:
             for own, _ in m.paths if m else ():
-                if os.path.exists(own):
-                    os.remove(own)
+                if store.get_file_info(own).type == pafs.FileType.File:
+                    store.delete_file(own)
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the formats known to a session, with filter pushdown for records."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Makes the formats known to a session."""
     for source in (Yaz0Source, TreeSource, ArchiveSource, RecordSource):
         spark.dataSource.register(source)

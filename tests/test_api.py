@@ -27,7 +27,7 @@ def test_text_for_people():
     assert provenance.display_width("日本é") == 5 and provenance.clipped("日本語", 5) == "日本…" and provenance.clipped("abc", 3) == "abc"
     assert Context().note("a", 1).note("b", None).lines() == ["a: 1", "some diagnostics failed to load"]
     report = provenance.Report("two places", notes=[("here", (("f", "physical", 0, 9), ("x", "physical", 1, 2))), ("there", (("f", "physical", 0, 9), ("y", "logical", None, None)))])
-    assert report.render().splitlines() == ["two places", "  └ f @0 (9 bytes)", "    └ x @1 (2 bytes)", "      ^ here", "    └ y", "      ^ there"]
+    assert report.render().splitlines() == ["two places", "  └─ f @0 (9 bytes)", "     ├─ x @1 (2 bytes)", "     │   ~", "     │   ╰──▶ here", "     └─ y", "         ~", "         ╰──▶ there"]
     assert all(r.render() and r.render(style="ansi") for r in provenance.GALLERY.values())
     with pytest.raises(RuntimeError, match="bad_magic"):
         provenance.unwrapped(lz.decode, b"Yaz1" + bytes(20))

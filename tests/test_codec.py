@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -166,3 +168,66 @@ def test_cursor_moves():
     assert c.until(b"F") == (b"CDE", True) and c.until(b"Z") == (b"GH", False)
     c.seek(0)
     assert list(c.records(lambda x: x.get("u8"), 1, first=6)) == [71, 72]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_splice_changes_only_what_the_edit_reaches(data):
+    word = st.sampled_from([b"ab", b"abc", b"xyz", b"\0", b"q", b"abcabcabc", bytes(range(40))])
+    old = b"".join(data.draw(st.lists(word, max_size=80)))
+    at = data.draw(st.integers(0, len(old)))
+    n = data.draw(st.integers(0, len(old) - at))
+    new = b"".join(data.draw(st.lists(word, max_size=6)))
+    packed = lz.encode(old, 32, "LE")
+    out = lz.splice(packed, at, n, new, "LE")
+    back = lz.decode(out, "LE")
+    assert back.data == old[:at] + new + old[at + n :] and back.header.alignment == 32
+    header, blocks, _ = lz.ops_of(out, "LE")
+    assert all(len(b) == 8 for b in blocks[:-1])
+
+
+def test_splice_keeps_the_bytes_before_and_far_behind():
+    rng = random.Random(2)
+    old = bytes(rng.choice(b"abcdefgh ") for _ in range(60_000))
+    packed = lz.encode(old)
+    out = lz.splice(packed, 20_000, 5, b"something else")
+    assert lz.decode(out).data == old[:20_000] + b"something else" + old[20_005:]
+    same = next(i for i in range(16, len(packed)) if packed[i] != out[i])
+    behind = next(i for i in range(1, len(packed)) if packed[-i] != out[-i])
+    assert same > len(packed) * 0.3 and behind > len(packed) * 0.5
+
+
+@given(st.binary(max_size=200).map(lambda b: b + b[:90] + b"zzzzzzz" + b[::2]), st.integers(0, 400))
+def test_operations_split_and_inflate(data, at):
+    ops = lz.compressed_ops(data)
+    at = min(at, len(data))
+    left, right = lz.split_ops(ops, at, b"")
+    assert lz.decode(lz.Header(len(data)).pack() + lz.packed_ops(left + right)).data == data
+    assert sum(n for *_, n in left) == at and all(n == 1 or n >= 3 for *_, n in left + right)
+    for more in range(8):
+        wide = lz.inflated(ops, len(ops) + more, b"")
+        if wide is not None:
+            assert len(wide) == len(ops) + more and lz.decode(lz.Header(len(data)).pack() + lz.packed_ops(wide)).data == data
+
+
+def test_blocks_are_replaced_in_place():
+    data = bytes(range(64)) * 3
+    packed = lz.encode(data)
+    header, blocks, _ = lz.ops_of(packed)
+    out = lz.with_blocks(packed, 2, 1, [(65, 0, 1)] * 16)
+    assert lz.decode(out).header.decompressed_size == len(data) + 8 and lz.decode(out).data[16:32] == b"A" * 16
+    with pytest.raises(DecodeError, match="fewer"):
+        lz.with_blocks(packed, 0, 1, [(65, 0, 1)])
+    assert lz.decode(lz.with_blocks(packed, len(blocks) - 1, 1, [(66, 0, 1)])).data.endswith(b"B")
+    with pytest.raises(DecodeError):
+        lz.with_blocks(packed, len(blocks), 1, [])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 200_000), st.integers(0, 3000))
+def test_ranges_of_long_files_keep_only_their_history(at, n):
+    assert lz.decode_range(LONG_PACKED, at, n) == LONG[at : at + n]
+
+
+LONG = b"".join(b"line %d of a long file\n" % (i * i % 977) for i in range(10_000))[:203_000]
+LONG_PACKED = lz.encode(LONG)

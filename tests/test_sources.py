@@ -33,14 +33,17 @@ def test_trees_and_archives(spark, tmp_path):
     assert {(r.name, bytes(r.data)) for r in spark.read.format("archive").load(where).collect()} == {("n/1", b"data"), ("n/2", b"")}
 
 
-def test_record_ranges_are_pushed_down(spark, tmp_path):
+def test_record_ranges_are_read_alone(spark, tmp_path):
     register(spark)
     where = put(tmp_path, r_bin=b"".join(struct.pack("<IhBf", i, -i, i % 256, i / 2) for i in range(1000)) + b"left")
     df = spark.read.format("records").option("fields", "a:u32,b:i16,c:u8,d:f32").option("endian", "LE").option("split_records", 64).load(where)
     assert df.count() == 1000 and df.rdd.getNumPartitions() == 16
-    part = df.where("idx >= 100 AND idx < 130 AND a % 2 = 0")
+    picked = spark.read.format("records").option("fields", "a:u32,b:i16,c:u8,d:f32").option("endian", "LE").option("first", 100).option("count", 30).load(where)
+    part = picked.where("idx >= 100 AND idx < 130 AND a % 2 = 0")
     assert [(r.idx, r.a, r.b, r.c, r.d) for r in part.orderBy("idx").collect()] == [(i, i, -i, i % 256, i / 2) for i in range(100, 130, 2)]
-    assert part.rdd.getNumPartitions() == 1
+    assert part.rdd.getNumPartitions() == 1 and picked.count() == 30
+    # A filter of one query must not stay with the next.
+    assert df.where("idx = 7").count() == 1 and df.where("idx < 0").count() == 0 and df.count() == 1000
 
 
 def test_sink_writes_files_that_read_back(spark, tmp_path):
@@ -58,3 +61,24 @@ def test_binary_file_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.value for r in spark.table("arrived").where(F.col("error").isNull()).collect()) == ["p", "q", "r"]
+
+
+def test_u64_uris_and_ranges(spark, tmp_path):
+    register(spark)
+    put(tmp_path, q_bin=struct.pack("<QqQ", 2**64 - 1, -(2**63), 2**63) + struct.pack("<QqQ", 0, 1, 7))
+    df = spark.read.format("records").option("fields", "a:u64,b:i64,c:u64").option("endian", "LE").option("split_records", 1).load(f"file://{tmp_path}/*.bin")
+    assert dict(df.dtypes)["a"] == "decimal(20,0)"
+    assert [(int(r.a), r.b, int(r.c)) for r in df.orderBy("idx").collect()] == [(2**64 - 1, -(2**63), 2**63), (0, 1, 7)]
+    assert df.where("idx = 1").select("path").first().path == f"file://{tmp_path}/q.bin" and df.rdd.getNumPartitions() == 2
+
+
+def test_overwrite_leaves_no_old_file(spark, tmp_path):
+    register(spark)
+    where = f"file://{tmp_path}/out"
+    rows = lambda *names: spark.createDataFrame([(n, bytearray(n.encode())) for n in names], "name string, data binary")
+    rows("old1", "old2", "kept").write.format("yaz0").mode("overwrite").save(where)
+    rows("kept", "new").write.format("yaz0").mode("overwrite").save(where)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["kept", "new"]
+    with pytest.raises(Exception, match="out"):
+        rows("more").write.format("yaz0").mode("append").save(where)
+    assert {bytes(r.data) for r in spark.read.format("yaz0").load(where).collect()} == {b"kept", b"new"}
