@@ -63,11 +63,34 @@ SELECT c_custkey, (((v % 256 + 384) % 256) - 128)::BIGINT AS i8, (((v % 65536 +
 
 
 def float_bits(spark, sf_dir):
-    t = _table(spark, sf_dir, "supplier")
-    return t.select("s_suppkey", *(P.decode(P.encode(F.col("s_acctbal"), k, e), k, e).cast("double").alias(f"{k}_{e.lower()}") for k in ("f32", "f64") for e in ("BE", "LE")), P.decode(P.encode(F.col("s_acctbal") > 0, "bool"), "bool").alias("positive"))
-
-
-FLOATS = "SELECT s_suppkey, s_acctbal::FLOAT::DOUBLE AS f32_be, s_acctbal::FLOAT::DOUBLE AS f32_le, s_acctbal AS f64_be, s_acctbal AS f64_le, s_acctbal > 0 AS positive FROM supplier"
+    """Decoded floats as their class and, where finite, their value: balances beside NaN, infinities, subnormals and minus zero."""
+    odd = F.element_at(F.array(*(F.lit(x).cast("double") for x in ("NaN", "Infinity", "-Infinity", "1e-310", "-1e-42", "-0.0"))), (F.col("s_suppkey") % 6 + 1).cast("int"))
+    t = _table(spark, sf_dir, "supplier").withColumn("v", F.when(F.col("s_suppkey") % 2 == 0, odd).otherwise(F.col("s_acctbal")))
+    cols = []
+    for k in ("f32", "f64"):
+        for e in ("BE", "LE"):
+            x = P.decode(P.encode(F.col("v"), k, e), k, e).cast("double")
+            finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+            cols += [F.when(F.isnan(x), "nan").when(~finite, F.when(x > 0, "inf").otherwise("-inf")).alias(f"{k}_{e.lower()}_odd"), F.when(finite, x).alias(f"{k}_{e.lower()}")]
+    sign = F.hex(F.substring(P.encode(F.col("v"), "f64"), 1, 1)).alias("first_byte")
+    return t.select("s_suppkey", *cols, F.when(~F.isnan("v"), sign).alias("first_byte"), P.decode(P.encode(F.col("s_acctbal") > 0, "bool"), "bool").alias("positive"))
+
+
+def _floats_sql() -> str:
+    cols = []
+    for k, kind in (("f32", "FLOAT"), ("f64", "DOUBLE")):
+        for e in ("be", "le"):
+            x = f"v::{kind}::DOUBLE"
+            cols.append(f"CASE WHEN isnan({x}) THEN 'nan' WHEN isinf({x}) THEN CASE WHEN {x} > 0 THEN 'inf' ELSE '-inf' END END AS {k}_{e}_odd, CASE WHEN isfinite({x}) THEN {x} END AS {k}_{e}")
+    odd = "(['NaN'::DOUBLE, 'Infinity'::DOUBLE, '-Infinity'::DOUBLE, 1e-310, -1e-42, -0.0::DOUBLE])[(s_suppkey % 6 + 1)::BIGINT]"
+    # Of a finite double other than these, the first byte follows from its sign and the binary exponent.
+    first = """CASE WHEN NOT isnan(v) THEN CASE WHEN isinf(v) THEN CASE WHEN v > 0 THEN '7F' ELSE 'FF' END WHEN s_suppkey % 6 = 4 AND s_suppkey % 2 = 0 THEN 'B7'
+      WHEN abs(v) < 1e-300 THEN CASE WHEN signbit(v) THEN '80' ELSE '00' END
+      ELSE printf('%02X', (CASE WHEN v < 0 THEN 128 ELSE 0 END + (floor(log2(abs(v)))::BIGINT + 1023) // 16)::BIGINT) END END AS first_byte"""
+    return f"SELECT s_suppkey, {', '.join(cols)}, {first}, s_acctbal > 0 AS positive FROM (SELECT *, CASE WHEN s_suppkey % 2 = 0 THEN {odd} ELSE s_acctbal END AS v FROM supplier)"
+
+
+FLOATS = _floats_sql()
 
 
 def slice_bounds(spark, sf_dir):
@@ -161,39 +184,42 @@ FROM (SELECT *, regexp_matches(text, '[^\\x{00}-\\x{FF}]') AS wide FROM document
 
 
 def name_hash(signed: bool):
+    """The hash of the whole text and source, and of the source by a multiplier near 2^32."""
+
     def run(spark, sf_dir):
-        t = spread(_table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(24)).alias("text"), "source"))
-        return t.select("doc_id", H.name_hash(_bytes(F.concat(F.left("text", F.lit(24)), F.col("source"))), signed=signed).alias("hash"), H.name_hash(_bytes("source"), 0xFFFFFFFF, signed).alias("wide"))
+        t = spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+        return t.select("doc_id", H.text_hash(_bytes(F.concat("text", "source")), signed=signed).alias("hash"), H.name_hash(_bytes("source"), 0xFFFFFFFF, signed).alias("wide"))
 
     return run
 
 
 def _hash_sql(signed: bool) -> str:
+    """Each byte times the multiplier to the power of how many follow, summed; powers by their binary digits, each step modulo 2^32."""
+
     def one(raw: str, m: int) -> str:
-        byte = "(('0x' || hex(encode(X))[2 * i - 1:2 * i])::HUGEINT)".replace("X", raw)
-        byte = f"(CASE WHEN {byte} > 127 THEN {byte} - 256 ELSE {byte} END)" if signed else byte
-        step = f"list_transform(range(1, octet_length(encode({raw})) + 1), lambda i: {byte})"
-        return f"list_reduce(list_prepend(0::HUGEINT, {step}), lambda h, x: ((h * {m} + x) % 4294967296 + 4294967296) % 4294967296)::BIGINT"
+        byte = "('0x' || hexed)::BIGINT"
+        byte = f"CASE WHEN {byte} > 127 THEN {byte} - 256 ELSE {byte} END" if signed else byte
+        power = "1::HUGEINT"
+        for i in range(24):
+            power = f"({power} * CASE WHEN later >> {i} & 1 = 1 THEN {pow(m, 1 << i, 1 << 32)} ELSE 1 END % 4294967296)"
+        parts = f"SELECT doc_id, len(b) AS n, unnest(b) AS hexed, len(b) - generate_subscripts(b, 1) AS later FROM (SELECT doc_id, regexp_extract_all(hex(encode({raw})), '..') AS b FROM documents)"
+        return f"(SELECT doc_id, ((sum(({byte}) * {power}) % 4294967296 + 4294967296) % 4294967296)::BIGINT AS h FROM ({parts}) GROUP BY doc_id)"
 
-    return f"SELECT doc_id, {one('(text[1:24] || source)', 101)} AS hash, {one('source', 4294967295)} AS wide FROM documents"
+    return f"""SELECT doc_id, CASE WHEN text IS NOT NULL AND source IS NOT NULL THEN coalesce(a.h, 0) END AS hash, CASE WHEN source IS NOT NULL THEN coalesce(b.h, 0) END AS wide
+FROM documents LEFT JOIN {one('(text || source)', 101)} a USING (doc_id) LEFT JOIN {one('source', 4294967295)} b USING (doc_id)"""
 
 
 def name_hash_text(signed: bool):
-    """The hash of the whole text and source; SQL goes byte by byte through a copy of the text each, too slow for whole texts."""
-
-    def run(spark, sf_dir):
-        t = spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-        return t.select("doc_id", H.text_hash(_bytes(F.concat("text", "source")), signed=signed).alias("hash"))
-
-    return run
+    """Only the hash of the whole text and source."""
+    return lambda spark, sf_dir: name_hash(signed)(spark, sf_dir).select("doc_id", "hash")
 
 
 def name_hash_collisions(spark, sf_dir):
-    t = _table(spark, sf_dir, "part").select("p_name", H.name_hash(_bytes("p_name"), 3).alias("hash")).distinct()
+    t = _table(spark, sf_dir, "part").select("p_name", H.name_hash(_bytes("p_name"), 1).alias("hash")).distinct()
     return t.groupBy("hash").agg(F.count("*").alias("names"), F.min("p_name").alias("first")).where("names > 1")
 
 
-COLLISIONS = """WITH h AS (SELECT DISTINCT p_name, list_reduce(list_prepend(0::HUGEINT, list_transform(range(1, octet_length(encode(p_name)) + 1), lambda i: ('0x' || hex(encode(p_name))[2 * i - 1:2 * i])::HUGEINT)), lambda h, x: (h * 3 + x) % 4294967296)::BIGINT AS hash FROM part)
+COLLISIONS = """WITH h AS (SELECT DISTINCT p_name, list_reduce(list_prepend(0::HUGEINT, list_transform(range(1, octet_length(encode(p_name)) + 1), lambda i: ('0x' || hex(encode(p_name))[2 * i - 1:2 * i])::HUGEINT)), lambda h, x: (h + x) % 4294967296)::BIGINT AS hash FROM part)
 SELECT hash, count(*) AS names, min(p_name) AS first FROM h GROUP BY hash HAVING count(*) > 1"""
 
 
@@ -374,11 +400,15 @@ def hexdump_rows(spark, sf_dir):
 HEXDUMP = "SELECT p_partkey, r::INTEGER AS row, upper(to_hex(r)) AS label, hex(encode(p_name[16 * r + 1:16 * r + 16])) AS bytes FROM (SELECT *, unnest(range(0, (length(p_name) + 15) // 16)) AS r FROM part)"
 
 
-def ancestor_path(spark, sf_dir):
+def _places(spark, sf_dir) -> DataFrame:
     r = _table(spark, sf_dir, "region").select((-F.col("r_regionkey") - 1).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("parent"))
     n = _table(spark, sf_dir, "nation").select((1_000_000_000 + F.col("n_nationkey")).cast("bigint").alias("id"), (-F.col("n_regionkey") - 1).cast("bigint").alias("parent"))
     c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (1_000_000_000 + F.col("c_nationkey")).cast("bigint").alias("parent"))
-    return provenance.ancestors(spark, r.unionByName(n).unionByName(c))
+    return r.unionByName(n).unionByName(c)
+
+
+def ancestor_path(spark, sf_dir):
+    return provenance.ancestors(_places(spark, sf_dir))
 
 
 ANCESTORS = """WITH RECURSIVE nodes AS (
@@ -390,6 +420,36 @@ up AS (SELECT id, id AS ancestor, 0 AS distance FROM nodes UNION ALL
 SELECT id, ancestor, distance FROM up"""
 
 
+def _torn(spark, sf_dir) -> DataFrame:
+    """The same places with a third of the customers hanging on others, some of which are missing."""
+    own = _places(spark, sf_dir)
+    c = F.col("id")
+    return own.select("id", F.when((c > 0) & (c < 1_000_000_000) & (c % 3 == 0), c - 1 - (c % 2) * 500_000_000).otherwise(F.col("parent")).alias("parent"))
+
+
+_NODES = ANCESTORS.split("up AS")[0]
+_TORN = _NODES.replace("nodes AS (", "whole AS (").rstrip().rstrip(",") + """,
+nodes AS (SELECT id, CASE WHEN id > 0 AND id < 1000000000 AND id % 3 = 0 THEN id - 1 - (id % 2) * 500000000 ELSE parent END AS parent FROM whole),
+"""
+
+
+def lineage(spark, sf_dir):
+    return provenance.lineage(_torn(spark, sf_dir))
+
+
+LINEAGE = _TORN + """up AS (SELECT id, id AS at, 0 AS depth FROM nodes UNION ALL
+  SELECT up.id, p.id, up.depth + 1 FROM up JOIN nodes n ON up.at = n.id JOIN nodes p ON n.parent = p.id)
+SELECT up.id, arg_max(up.at, up.depth) AS root, max(up.depth)::BIGINT AS depth, arg_max(n.parent IS NULL, up.depth) AS family_exists FROM up JOIN nodes n ON up.at = n.id GROUP BY up.id"""
+
+
+def parent_exists(spark, sf_dir):
+    return provenance.parents(_torn(spark, sf_dir))
+
+
+PARENTS = _TORN.rstrip().rstrip(",") + """
+SELECT n.id, n.parent, p.id IS NOT NULL AS exists FROM nodes n LEFT JOIN nodes p ON n.parent = p.id WHERE n.parent IS NOT NULL"""
+
+
 def value_paths(spark, sf_dir):
     path = provenance.child(provenance.child(provenance.child(None, "file"), F.col("o_orderstatus"), F.col("o_custkey"), F.lit(8)), provenance.index_name(F.col("o_orderkey") % 200), F.col("o_orderkey") % 7)
     return _table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(path, lambda p: p["name"]), "/").alias("path"), provenance.absolute_offset(path).alias("offset"), provenance.clipped_name(F.col("o_orderpriority"), 6).alias("clipped"))
@@ -450,6 +510,8 @@ ALL = {
     "raw_render": (raw_render, RAW),
     "hexdump_rows": (hexdump_rows, HEXDUMP),
     "ancestor_path": (ancestor_path, ANCESTORS),
+    "lineage": (lineage, LINEAGE),
+    "parent_exists": (parent_exists, PARENTS),
     "value_paths": (value_paths, PATHS),
     "end_to_end": (end_to_end, END_TO_END),
 }

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from octetloom.plans import containers
+from octetloom.plans import containers, edits, files, relational
 
 Query = Callable[[SparkSession, str], DataFrame]
+ALL = containers.ALL | edits.ALL | files.ALL | relational.ALL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +19,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every registered query by name."""
-    return {name: query for name, (query, _) in containers.ALL.items()}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name, for the queries that SQL can express."""
-    return {name: sql for name, (_, sql) in containers.ALL.items() if sql}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}

@@ -1,4 +1,4 @@
-"""Container files as Python data sources: ``yaz0``, ``tree``, ``archive`` and ``records``, and a sink that writes files.
+"""Container files as Python data sources: ``yaz0``, ``tree``, ``archive``, ``records`` and ``raw``; ``yaz0`` and ``raw`` write files too.
 
     register(spark)
     spark.read.format("yaz0").load("/data/*.szs")
@@ -284,7 +284,29 @@ class _FileWriter(DataSourceWriter):
                     store.delete_file(own)
 
 
+class RawSource(DataSource):
+    """Files as they are: one row per file, and a sink for rows (name, data)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "raw"
+
+    def schema(self) -> str:
+        return "path string, data binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _RawReader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _FileWriter(self.options, overwrite, bytes)
+
+
+class _RawReader(_FileReader):
+    def rows(self, path, raw):
+        yield path, raw
+
+
 def register(spark: SparkSession) -> None:
     """Makes the formats known to a session."""
-    for source in (Yaz0Source, TreeSource, ArchiveSource, RecordSource):
+    for source in (Yaz0Source, TreeSource, ArchiveSource, RecordSource, RawSource):
         spark.dataSource.register(source)

@@ -47,6 +47,7 @@ def one(spark, *cols, **values):
     row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} binary" if isinstance(v, bytes | None.__class__) else f"{k} int" for k, v in values.items()))
     return row.select(*cols).first()
 
+# Plain inputs and results of byte-buffer edits, as FIXTURES.md §1 lists them.
 
 BUFFER = bytes(range(10, 16))
 
@@ -150,3 +151,17 @@ def test_whole_texts_are_hashed(spark, tmp_path, signed):
     spark.createDataFrame([(i, t, "web") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.hash for r in registry.queries()["name_hash_text_signed" if signed else "name_hash_text_unsigned"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else archive.name_hash((t + "web").encode(), signed=signed) for i, t in enumerate(texts)}
+
+
+def test_walks_have_no_limit_of_rows_or_depth(spark):
+    wide = spark.range(1, 2_000_001).selectExpr("id", "CASE WHEN id > 1 THEN (id + 998) DIV 1000 END AS parent")
+    chain = spark.range(3_000_000, 3_000_501).selectExpr("id", "CASE WHEN id > 3000000 THEN id - 1 END AS parent")
+    nodes = wide.unionByName(chain)
+    out = provenance.ancestors(nodes)
+    assert out.where("id >= 3000000").count() == 501 * 502 // 2 and out.where("id < 3000000").count() > 5_900_000
+    tops = provenance.lineage(nodes)
+    assert tops.where("id = 3000500").first()["depth"] == 500 and tops.where("root NOT IN (1, 3000000) OR NOT family_exists").count() == 0
+    ring = spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long")
+    for walk in (provenance.ancestors, provenance.lineage):
+        with pytest.raises(ValueError, match="cycle"):
+            walk(ring)
