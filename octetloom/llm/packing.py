@@ -46,9 +46,7 @@ def _byte_of() -> dict[str, int]:
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(path)
 
 
 @cache
@@ -57,8 +55,8 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
 
     A byte-level BPE whose merges come in the order of their ids is the same as a
     ranked vocabulary, which encodes several times faster; texts with very long
-    words and any other tokenizer go to the tokenizer itself. Names of special
-    tokens in a text are ordinary text.
+    words or with the name of an added token (which is one id, as the file has it),
+    and any other tokenizer, go to the tokenizer itself.
     """
     slow = lambda text: np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
     spec = json.load(open(path, encoding="utf-8"))
@@ -71,13 +69,14 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     import tiktoken
     from public_tokenizers import PATTERN
 
+    added = [t["content"] for t in spec.get("added_tokens", [])]
     special = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
     of = _byte_of()
     ranks = {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(text: str) -> np.ndarray:
-        if len(text) > LONG and max(map(len, text.split(" "))) > LONG or "  " in text and " " * LONG in text:
+        if len(text) > LONG and max(map(len, text.split(" "))) > LONG or "  " in text and " " * LONG in text or any(t in text for t in added):
             return slow(text)
         return np.array(fast(text), np.uint32)
 
