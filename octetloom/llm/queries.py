@@ -25,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_top_k": topk.ORACLE_SQL,
         "op4_warc_packages": warc.ORACLE_SQL,
         "op5_mix_sources": mixing.ORACLE_SQL,
+        "op6_substring_dedup": substrings.ORACLE_SQL,
         "op7_tool_calls": toolcalls.ORACLE_SQL,
     }

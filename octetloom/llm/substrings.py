@@ -7,8 +7,9 @@ whose remainder modulo ``period`` is in a difference cover: any two positions
 shifted by some amount below ``period`` both fall on the cover, so any two equal
 windows share an anchor that starts in them at the same place. Anchors meet by
 hash, once per block and hash; those of one document only go. The rest are
-extended: every window that holds a shared anchor is hashed in full (96 bits)
-and meets its equals by hash, again once per block. A block learns which of its
+extended: every window that holds a shared anchor is hashed in full (96 bits,
+from two independent hashes of each word) and meets its equals by hash, again
+once per block. A block learns which of its
 windows start in a document of another block that comes before all of its own
 with that window, and settles the windows that it holds twice by itself.
 """
@@ -19,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octetloom.llm.common import HashCache, materialised, small_batches
+from octetloom.llm.common import BLANKS, materialised, small_batches
 from octetloom.session import spread
 
 WINDOW = 50
@@ -36,6 +38,36 @@ _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = 0xD6E8FEB86659FD93
 
 
+#: Bytes whose words are hashed at a time.
+CHUNK = 1 << 20
+_BLANK = np.zeros(256, bool)
+_BLANK[list(BLANKS.encode())] = True
+_BYTES = [np.array([xxhash.xxh64_intdigest(bytes([b]), seed) for b in range(256)], np.uint64) for seed in (1, 2)]
+_BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+_POWERS: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def _powers(which: int, inverse: bool, n: int) -> np.ndarray:
+    """The first powers of an odd base, or of its inverse, modulo 2^64."""
+    held = _POWERS.get((which, inverse))
+    if held is None or len(held) < n:
+        base = pow(_BASES[which], -1, 1 << 64) if inverse else _BASES[which]
+        steps = np.full(max(n, CHUNK + 4096), base, np.uint64)
+        steps[0] = 1
+        held = np.multiply.accumulate(steps)
+        if n <= 2 * CHUNK:
+            _POWERS[which, inverse] = held
+    return held
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """A 64-bit hash of each word: differences of one running sum of random values of bytes times powers, brought to the word's start and mixed with its length."""
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[which][data] * _powers(which, False, len(data))[: len(data)], dtype=np.uint64)])
+    h = (upto[ends] - upto[starts]) * _powers(which, True, len(data))[starts]
+    h = (h ^ (h >> np.uint64(32)) ^ (ends - starts).astype(np.uint64)) * np.uint64(_MIX)
+    return h ^ (h >> np.uint64(29))
+
+
 def _bytes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
@@ -60,22 +92,39 @@ class Block:
         ends = np.cumsum(sizes) + 8 + 17 * n
         return cls(ids, known, [raw[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist())])
 
-    def hash(self, cache: HashCache) -> None:
-        """Sets ``words`` by document, ``h`` (one hash a word), ``doc`` (its document's number), ``at`` and ``left`` (words before and from it on)."""
-        self.words = [t.split() for t in self.texts]
-        n = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        self.h = np.concatenate([cache.array(w) for w in self.words]) if len(n) else np.zeros(0, np.uint64)
+    def hash(self, twice: bool = False) -> None:
+        """Sets ``h`` (a hash of each word; with ``twice`` a second, independent one), ``first`` (each document's first word), ``doc``, ``at`` and ``left`` (words before and from it on)."""
+        starts, ends, own, other = [], [], [], []
+        data = np.frombuffer(b"\n".join(self.texts) + b"\n", np.uint8)
+        blank = _BLANK[data]
+        at = 0
+        while at < len(data):
+            stop = min(len(data), at + CHUNK)
+            # A chunk ends at a blank, so that no word is cut.
+            while stop < len(data) and not blank[stop - 1]:
+                more = np.flatnonzero(blank[stop : stop + CHUNK])
+                stop = stop + int(more[0]) + 1 if len(more) else min(len(data), stop + CHUNK)
+            edge = np.flatnonzero(np.diff(np.concatenate([[True], blank[at:stop]]).astype(np.int8)))
+            a, e = edge[::2], edge[1::2]
+            starts.append(a + at)
+            ends.append(e + at)
+            own.append(_word_hashes(data[at:stop], a, e, 0))
+            if twice:
+                other.append(_word_hashes(data[at:stop], a, e, 1))
+            at = stop
+        starts = np.concatenate(starts)
+        self.h = np.concatenate(own)
+        self.h2 = np.concatenate(other) if twice else None
+        doc_ends = np.cumsum(np.fromiter(map(len, self.texts), np.int64, len(self.texts)) + 1)
+        self.doc = np.searchsorted(doc_ends, starts, "right")
+        n = np.bincount(self.doc, minlength=len(self.texts))
         self.first = np.concatenate([[0], np.cumsum(n)])
-        self.doc = np.repeat(np.arange(len(n)), n)
         self.at = np.arange(len(self.h)) - self.first[:-1][self.doc]
         self.left = n[self.doc] - self.at
 
     def runs(self, length: int, which: int = 0) -> np.ndarray:
-        """A hash of the ``length`` words from each word on (rubbish where they leave the array), by doubling."""
-        h = self.h
-        if which:
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(_MIX)
-            h ^= h >> np.uint64(32)
+        """A hash of the ``length`` words from each word on (rubbish where they leave the array), by doubling; ``which`` hash of the words."""
+        h = self.h2 if which else self.h
         m, n = _MULT[which], len(h)
         out, done, size, part = np.zeros(n, np.uint64), 0, 1, h
         while done < length:
@@ -164,11 +213,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     bits = max(LEAST_BUCKETS, blocks.count() // BLOCKS_PER_BUCKET).bit_length() - 1
 
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashCache(1)
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 b = Block.unpack(blob)
-                b.hash(cache)
+                b.hash()
                 at = b.anchors(length, period, cover, window)
                 h = b.runs(length)[at]
                 order = np.argsort(h, kind="stable")
@@ -198,7 +246,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
         if not right.num_rows or not left.num_rows:
             return _rows(names, [])
         b = Block.unpack(left.column("blob")[0].as_py())
-        b.hash(HashCache(1))
+        b.hash(True)
         shared = np.sort(_joined(right, "hashes", np.uint64))
         at = b.anchors(length, period, cover, window)
         h = b.runs(length)[at]
@@ -231,14 +279,19 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
         if not left.num_rows:
             return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
         b = Block.unpack(left.column("blob")[0].as_py())
-        b.hash(HashCache(1))
+        b.hash(True)
         at = np.flatnonzero(b.windows(window))
         h1, h2, ids = b.runs(window)[at], (b.runs(window, 1)[at] >> np.uint64(32)).astype(np.uint32), b.ids[b.doc[at]]
-        order = np.lexsort((ids, h2, h1))
+        # Only windows whose first hash comes twice need to be put in full order.
+        order = np.argsort(h1)
+        start = _groups(h1[order])
+        count = np.diff(np.append(start, len(at)))
+        twice = order[np.repeat(count > 1, count)]
+        order = twice[np.lexsort((ids[twice], h2[twice], h1[twice]))]
         start = _groups(h1[order], h2[order])
         gone = np.zeros(len(at), bool)
-        if len(at):
-            gone[order] = ids[order] > np.repeat(ids[order][start], np.diff(np.append(start, len(at))))
+        if len(order):
+            gone[order] = ids[order] > np.repeat(ids[order][start], np.diff(np.append(start, len(order))))
         if right.num_rows:
             pair = np.dtype([("h1", np.uint64), ("h2", np.uint32)])
             known = np.zeros(len(g1 := _joined(right, "h1", np.uint64)), pair)
@@ -262,7 +315,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
         n_words = np.diff(b.first)
         n_removed = np.bincount(b.doc[removed], minlength=len(n_words))
         kept = []
-        for i, ws in enumerate(b.words):
+        for i, t in enumerate(b.texts):
+            ws = t.split()
             if n_removed[i]:
                 ws = [w for w, r in zip(ws, removed[b.first[i] : b.first[i + 1]].tolist()) if not r]
             kept.append(b" ".join(ws).decode())
@@ -279,3 +333,15 @@ def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """What repeats of 50 words leave of every document."""
     out = without_repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+firsts AS (SELECT s, min(doc_id) AS f FROM win GROUP BY s),
+gone AS (SELECT doc_id, i FROM win JOIN firsts USING (s) WHERE doc_id > f),
+spots AS (SELECT DISTINCT doc_id, i + k AS p FROM gone, range(50) t(k)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, count(s.p) AS n_removed, string_agg(CASE WHEN s.p IS NULL THEN word END, ' ' ORDER BY words.p) AS text FROM words LEFT JOIN spots s USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""

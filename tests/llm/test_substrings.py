@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from octetloom.llm import substrings
@@ -13,6 +14,19 @@ def run(spark, docs, parts=3, **how):
     return {r.doc_id: (r.n_words, r.kept) for r in substrings.without_repeats(df, **how).collect()}
 
 
+@pytest.mark.parametrize("chunk", [50, 1 << 20])
+def test_words_are_those_between_blanks(chunk, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    texts = ["".join(rng.choice(["a", "bc", "é", " ", "\n", "\t", "\x0b", "\xa0", "z" * 130]) for _ in range(rng.randrange(90))).encode() for _ in range(60)] + [b"", b" "]
+    block = substrings.Block(np.arange(len(texts)), np.ones(len(texts), bool), texts)
+    block.hash(True)
+    words = [w for t in texts for w in t.split()]
+    assert len(block.h) == len(words) and np.diff(block.first).tolist() == [len(t.split()) for t in texts]
+    for h in (block.h, block.h2):
+        assert len({(w, int(x)) for w, x in zip(words, h)}) == len(set(words)) == len(set(h.tolist()))
+
+
 @pytest.mark.parametrize("window,period,cover", [(50, 31, substrings.COVER), (10, 7, (1, 2, 4)), (7, 7, (0, 1, 3))])
 def test_matches_brute_force(spark, window, period, cover, monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK_BYTES", 3000)
