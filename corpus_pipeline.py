@@ -18,29 +18,52 @@ from octetloom.session import spread
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents scoring below one half, by a model fitted on the labels of these documents."""
+    """The documents scoring below one half, by a model fitted on the labels of these documents.
+
+    A null or empty text has no clauses and stays; ids matter for the labels only,
+    so that rows without one, or sharing one, are judged by their own texts; ties
+    at one half go; an empty table stays empty; other columns stay as they are.
+    """
     docs = spread(docs)
     return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component."""
+    """The document with the smallest doc_id of each component.
+
+    Null and wordless texts are one component; of rows alike in id and
+    fingerprint any one stays; unlike texts that share an id, or have none, all
+    stay; an empty table stays empty; other columns stay as they are.
+    """
     return simhash.one_of_each(spread(docs))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the spans found replaced by their kind."""
+    """All documents, with the spans found replaced by their kind and ``n_chars`` in step.
+
+    A null text stays null; ids play no part; repeated rows stay repeated; an
+    empty table stays empty; other columns stay as they are.
+    """
     docs = spread(docs)
     return pii.redacted(docs, pii.fit(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, each as often as it is taken."""
+    """The documents of the mix, each as often as it is taken, by finish time.
+
+    Null and empty texts have no words and are never taken; a null source is one
+    of its own; rows without an id, or sharing one, are documents of their own;
+    equal finish times go by shuffle key and id; an empty table stays empty.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences of 2048 tokens."""
+    """The pieces of the documents and their places in sequences of 2048 tokens.
+
+    A null or empty text is its separator alone; repeated rows are pieces of their
+    own, with a null doc_id where they have none; an empty table has no pieces.
+    """
     out = packing.packed_documents(spread(docs))
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))
 
