@@ -488,8 +488,8 @@ ALL = {
     "latin1_len": (latin1_len, LATIN1),
     "name_hash_signed": (name_hash(True), _hash_sql(True)),
     "name_hash_unsigned": (name_hash(False), _hash_sql(False)),
-    "name_hash_text_signed": (name_hash_text(True), None),
-    "name_hash_text_unsigned": (name_hash_text(False), None),
+    "name_hash_text_signed": (name_hash_text(True), f"SELECT doc_id, hash FROM ({_hash_sql(True)})"),
+    "name_hash_text_unsigned": (name_hash_text(False), f"SELECT doc_id, hash FROM ({_hash_sql(False)})"),
     "name_hash_collisions": (name_hash_collisions, COLLISIONS),
     "attr_unpack": (attr_unpack, ATTRS),
     "fixed_record_scan": (fixed_record_scan, SCAN),
