@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from octetloom.functions.sql import register as register_functions
 from octetloom.operators import compression
-from octetloom.plans.containers import _archives, _bytes, _nation_trees, _order_records, _table
+from octetloom.operators.records import packed_record
+from octetloom.plans.containers import _archives, _bytes, _nation_trees, _table
 from octetloom.session import shared_folder
 from octetloom.sources.containers import register
 from octetloom.streaming.decoding import arriving_strings
@@ -61,14 +62,17 @@ ARCHIVE = "SELECT n_regionkey, 1 AS sequence, n_name AS name, repeat(n_name, n_n
 
 
 def source_records(spark, sf_dir):
-    """Tables of records, read in small splits and from the second record on."""
-    t = _order_records(spark, sf_dir).where("l_orderkey % 50 = 0").select(F.concat(F.col("l_orderkey").cast("string"), F.lit(".bin")).alias("name"), F.col("content").alias("data"))
-    out = spark.read.format("records").option("fields", "hash:u32,attributes:u32,start:u32,end:u32").option("endian", "LE").option("first", 1).option("split_records", 3).load(_raw(spark, t))
-    return out.select(_key().alias("l_orderkey"), "idx", "hash", "start", "end")
+    """One table of records per supplier, read from the second record on."""
+    record = packed_record({"hash": (F.col("l_partkey"), "u32"), "order": (F.col("l_orderkey"), "u64"), "quantity": (F.col("l_quantity").cast("bigint"), "u16")}, "LE")
+    rows = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", record.alias("r"))))
+    t = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.unhex(F.array_join(F.transform(rows, lambda x: F.hex(x["r"])), "")).alias("data"))
+    folder = _raw(spark, t.withColumn("name", F.concat(F.col("l_suppkey").cast("string"), F.lit(".bin"))))
+    out = spark.read.format("records").option("fields", "hash:u32,order:u64,quantity:u16").option("endian", "LE").option("first", 1).option("split_records", 20_000).load(folder)
+    return out.select(_key().alias("l_suppkey"), "idx", "hash", F.col("order").cast("bigint").alias("order_key"), "quantity")
 
 
-RECORDS = """SELECT l_orderkey, n AS idx, l_partkey AS hash, trunc(l_quantity)::BIGINT AS start, 7::BIGINT AS "end" FROM
-(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS n FROM lineitem WHERE l_orderkey % 50 = 0) WHERE n > 0"""
+RECORDS = """SELECT l_suppkey, n AS idx, l_partkey AS hash, l_orderkey AS order_key, trunc(l_quantity)::INTEGER AS quantity FROM
+(SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS n FROM lineitem) WHERE n > 0"""
 
 
 def stream_strings(spark, sf_dir):

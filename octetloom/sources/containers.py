@@ -192,18 +192,28 @@ class _RecordReader(DataSourceReader):
             store, path = _store(p)
             n = store.get_file_info(path).size // self.width
             high = n if self.high is None else min(n, self.high)
-            out += [_Range(p, a, min(a + step, high)) for a in range(self.low, high, step)]
-        return out or [_Range("", 0, 0)]
+            out += [(p, a, min(a + step, high)) for a in range(self.low, high, step)]
+        # Small files share a split.
+        splits, held = [[]], 0
+        for r in out:
+            if held and held + r[2] - r[1] > step:
+                splits.append([])
+                held = 0
+            splits[-1].append(r)
+            held += r[2] - r[1]
+        return [_Ranges(x) for x in splits]
 
     def read(self, partition):
-        if not partition.path:
-            return
-        store, path = _store(partition.path)
+        for path, first, last in partition.ranges:
+            yield from self.range(path, first, last)
+
+    def range(self, name: str, first: int, last: int) -> Iterator[tuple]:
+        store, path = _store(name)
         with store.open_input_file(path) as f:
-            raw = f.read_at((partition.last - partition.first) * self.width, partition.first * self.width)
+            raw = f.read_at((last - first) * self.width, first * self.width)
         c = Cursor(raw, self.options.get("endian", "BE"))
-        for i in range(partition.first, partition.first + len(raw) // self.width):
-            yield (partition.path, i, *(self.value(c, k) for _, k in self.fields))
+        for i in range(first, first + len(raw) // self.width):
+            yield (name, i, *(self.value(c, k) for _, k in self.fields))
 
     @staticmethod
     def value(c: Cursor, kind: str):
@@ -216,10 +226,10 @@ class _RecordReader(DataSourceReader):
 
 
 @dataclass
-class _Range(InputPartition):
-    path: str
-    first: int
-    last: int
+class _Ranges(InputPartition):
+    """Stretches of files to read: (path, first record, last)."""
+
+    ranges: list[tuple[str, int, int]]
 
 
 class RecordSource(DataSource):
