@@ -71,10 +71,10 @@ def strict(result: Column) -> Column:
 def annotated(result: Column, note: str, value: Column | None = None, when: Column | None = None) -> Column:
     """The result with a note added to its error, if it has one: ``note`` alone or with a value, only where ``when`` holds. A note without its value says so."""
     text = F.lit(note) if value is None else F.concat(F.lit(f"{note}: "), F.coalesce(value.cast("string"), F.lit(UNKNOWN)))
-    place = result["error"]["component"]
-    said = F.concat(place, F.lit(" ("), text, F.lit(")"))
-    said = said if when is None else F.when(when, said).otherwise(place)
-    return F.when(result["error"].isNull(), result).otherwise(result.withField("error.component", said))
+    tail = F.concat(F.lit(" ("), text, F.lit(")"))
+    tail = tail if when is None else F.when(when, tail).otherwise("")
+    # One element of an array names the result, so that notes upon notes do not multiply the expression.
+    return F.transform(F.array(result), lambda r: F.when(r["error"].isNull(), r).otherwise(r.withField("error.component", F.concat(r["error"]["component"], tail))))[0]
 
 
 #: What stands for a note's value that could not be had.

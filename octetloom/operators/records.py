@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,18 @@ def packed_record(fields: Mapping[str, tuple[Column, str]], endian: str = "BE")
     return F.concat(*(P.encode(v, kind, endian) for v, kind in fields.values()))
 
 
+def packed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Mapping[str, tuple[Column, str]], endian: str = "BE") -> DataFrame:
+    """``keys`` and ``content``: the records of each key's rows one after another, in the order of the columns ``order``.
+
+    A row with a null field gives no record; a key without records has null
+    content. Rows alike in ``order`` come in any order. The bytes of one key are
+    gathered in one task, as they make one value.
+    """
+    by = [f"__by{i}" for i in range(len(order))]
+    cut = rows.select(*keys, *(F.col(c).alias(b) for c, b in zip(order, by)), packed_record(fields, endian).alias("__record"))
+    return cut.groupBy(*keys).agg(F.expr(f"listagg(__record) WITHIN GROUP (ORDER BY {', '.join(by)})").alias("content"))
+
+
 def records(
     rows: DataFrame, content: str, fields: Mapping[str, str], endian: str | Column = "BE", first: int = 0, count: int | None = None, start: int | Column = 0
 ) -> DataFrame:

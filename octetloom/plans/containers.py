@@ -235,10 +235,8 @@ ATTRS = """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 2 THEN l_li
 
 def _order_records(spark, sf_dir) -> DataFrame:
     t = _table(spark, sf_dir, "lineitem")
-    record = records.packed_record({"filename_hash": (F.col("l_partkey"), "u32"), "attributes": (F.col("l_linenumber") * 16777216 + F.col("l_suppkey"), "u32"), "start_offset": (F.col("l_quantity").cast("bigint"), "u32"), "end_offset": (F.lit(7), "u32")}, "LE")
-    rows = t.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", record.alias("r")))).alias("rs"))
-    joined = F.unhex(F.array_join(F.transform("rs", lambda x: F.hex(x["r"])), ""))
-    return rows.select("l_orderkey", joined.alias("content"))
+    fields = {"filename_hash": (F.col("l_partkey"), "u32"), "attributes": (F.col("l_linenumber") * 16777216 + F.col("l_suppkey"), "u32"), "start_offset": (F.col("l_quantity").cast("bigint"), "u32"), "end_offset": (F.lit(7), "u32")}
+    return records.packed(t, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], fields, "LE")
 
 
 def fixed_record_scan(spark, sf_dir):

@@ -1,10 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from octetloom import errors
 from octetloom.codec import lz, tree
 from octetloom.errors import Context
-from octetloom.functions import sql
-from octetloom.operators import compression, provenance
+from octetloom.functions import slices, sql
+from octetloom.operators import compression, provenance, records
 
 
 def test_sql_names(spark):
@@ -31,3 +32,21 @@ def test_text_for_people():
     assert all(r.render() and r.render(style="ansi") for r in provenance.GALLERY.values())
     with pytest.raises(RuntimeError, match="bad_magic"):
         provenance.unwrapped(lz.decode, b"Yaz1" + bytes(20))
+
+
+def test_records_are_packed_by_key(spark):
+    rows = spark.createDataFrame([(1, 2, 20), (1, 1, 10), (2, 1, None), (None, 1, 5), (None, 1, 5)], "key int, by int, v bigint")
+    fields = {"v": (F.col("v"), "u16"), "by": (F.col("by"), "u8")}
+    out = {r.key: r.content and bytes(r.content) for r in records.packed(rows, ["key"], ["by"], fields).collect()}
+    assert out == {1: b"\0\x0a\1\0\x14\2", 2: None, None: b"\0\5\1" * 2}
+    back = records.records(records.packed(rows, ["key"], ["by"], fields), "content", {"v": "u16", "by": "u8"}).where("key = 1").orderBy("idx")
+    assert [tuple(r) for r in back.collect()] == [(1, 0, 10, 1), (1, 1, 20, 2)]
+    assert records.packed(rows.limit(0), ["key"], ["by"], fields).collect() == []
+
+
+def test_many_notes_keep_the_expression_small(spark):
+    r = slices.read_at(F.col("b"), F.col("at"), 2, "part")
+    for i in range(8):
+        r = errors.annotated(r, f"n{i}", when=F.lit(i % 2 == 0))
+    rows = spark.createDataFrame([(bytearray(b"abc"), 1), (bytearray(b"abc"), 2)], "b binary, at int").select("at", r["error"]["component"].alias("c"), r["value"].alias("v"))
+    assert [(x.c, x.v and bytes(x.v)) for x in rows.orderBy("at").collect()] == [(None, b"bc"), ("part (n0) (n2) (n4) (n6)", None)]
