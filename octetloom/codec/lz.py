@@ -12,6 +12,8 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from octetloom.codec.cursor import Cursor
 from octetloom.errors import DecodeError
 
@@ -24,6 +26,12 @@ LONG_FROM = 0x12
 LONGEST = 0x111
 OPS_PER_BLOCK = 8
 
+#: Places whose matches are found together, at most and at first; the least number worth it; and the length up to which they are.
+TABLE = 1 << 16
+TABLE_FIRST = 1 << 11
+TABLE_FROM = 512
+TABLE_LENGTH = 24
+
 #: Decoded bytes that a file may claim, unless the caller allows more.
 OUTPUT_LIMIT = 1 << 30
 
@@ -185,11 +193,58 @@ def packed_ops(ops: list[tuple[int | None, int, int]]) -> bytes:
     return bytes(out)
 
 
+def matches(data: bytes, at: int, stop: int, end: int) -> tuple[list[int], list[int]]:
+    """longest_match() of every place from ``at`` to ``stop`` (matches end before ``end``), as distances and lengths; TABLE_LENGTH stands for that length or more.
+
+    Places that begin alike for n bytes form a class, which the next byte splits.
+    The first place of a class within the history is the match; a place too far
+    from both its neighbours in its class can match nothing longer and leaves.
+    """
+    base = max(0, at - HISTORY)
+    raw = np.frombuffer(data, np.uint8)[base : min(end, stop + TABLE_LENGTH)].astype(np.int64)
+    n = len(raw)
+    distances, lengths = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    place = np.arange(max(0, n - SHORTEST + 1))
+    kind = raw[place] << 16 | raw[place + 1] << 8 | raw[place + 2]
+    for length in range(SHORTEST, TABLE_LENGTH + 1):
+        if not len(place):
+            break
+        order = np.argsort(kind, kind="stable")
+        place, kind = place[order], kind[order]
+        near = (kind[1:] == kind[:-1]) & (place[1:] - place[:-1] <= HISTORY)
+        after, before = np.append(False, near), np.append(near, False)
+        number = np.cumsum(np.append(False, kind[1:] != kind[:-1]))
+        key = number * n + place
+        found = place[after]
+        first = place[np.searchsorted(key, number[after] * n + np.maximum(0, found - HISTORY))]
+        distances[found], lengths[found] = found - first, length
+        keep = (after | before) & (place + length < n)
+        place = place[keep]
+        kind = number[keep] << 8 | raw[place + length]
+    return distances[at - base : stop - base].tolist(), lengths[at - base : stop - base].tolist()
+
+
 def compressed_ops(data: bytes, at: int = 0, end: int | None = None) -> list[tuple[int | None, int, int]]:
-    """Greedy operations for the bytes from ``at`` to ``end``: the longest match at each place, else a literal."""
+    """Greedy operations for the bytes from ``at`` to ``end``: the longest match at each place, else a literal.
+
+    Where matches are short, those of the next places are looked up in a table,
+    which grows as long as many of its places are asked for.
+    """
     ops, end = [], len(data) if end is None else end
+    begin = stop = at
+    size, before = TABLE_FIRST, 0
     while at < end:
-        distance, length = longest_match(data, at, HISTORY, end)
+        if at < stop:
+            distance, length = distances[at - begin], lengths[at - begin]
+            if length >= TABLE_LENGTH:
+                distance, length = longest_match(data, at, HISTORY, end)
+        else:
+            distance, length = longest_match(data, at, HISTORY, end)
+            if length < TABLE_LENGTH and end - at >= TABLE_FROM:
+                if stop > begin:
+                    size = min(TABLE, 2 * size) if 8 * (len(ops) - before) >= stop - begin else TABLE_FIRST
+                begin, stop, before = at, min(end, at + size), len(ops)
+                distances, lengths = matches(data, begin, stop, end)
         if length:
             ops.append((None, distance, length))
             at += length

@@ -231,3 +231,19 @@ def test_ranges_of_long_files_keep_only_their_history(at, n):
 
 LONG = b"".join(b"line %d of a long file\n" % (i * i % 977) for i in range(10_000))[:203_000]
 LONG_PACKED = lz.encode(LONG)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_tables_of_matches_give_what_the_search_gives(seed):
+    r = random.Random(seed)
+    again = r.randbytes(r.randrange(4060, 4140))
+    parts = [bytes(3000), r.randbytes(700), bytes(r.choices(b"ab", k=2500)), again + again[:400] + again, bytes(r.choices(range(12), k=4000)), r.randbytes(40) * 30]
+    data = b"".join(r.sample(parts, 4))
+    at, end = (0, len(data)) if seed % 3 else (r.randrange(2000), len(data) - r.randrange(2000))
+    found = []
+    place = at
+    while place < end:
+        distance, length = lz.longest_match(data, place, lz.HISTORY, end)
+        found.append((None, distance, length) if length else (data[place], 0, 1))
+        place += length or 1
+    assert lz.compressed_ops(data, at, end) == found
