@@ -28,7 +28,7 @@ OPS_PER_BLOCK = 8
 
 #: Places whose matches are found together, at most and at first; the least number worth it; and the length up to which they are.
 TABLE = 1 << 16
-TABLE_FIRST = 1 << 11
+TABLE_FIRST = 1 << 13
 TABLE_FROM = 512
 TABLE_LENGTH = 24
 
