@@ -36,8 +36,10 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents that the field is fitted on, at most: of those with a digit or an at sign, the ones with the least hash of doc_id.
 SAMPLE_DOCS = 4_000
 LEAST_MARGINAL = 0.95
-#: Letters and digits of a key that may be linked at all, of a number, and of one that may be linked to a similar one; keys above the last are linked to equal ones only.
+#: Letters and digits of a key that may be linked at all, of a number, and of one that may be linked to a similar one; keys above the last are compared by hashes.
 LEAST_KEY, LEAST_DIGITS, LEAST_SIMILAR, MOST_SIMILAR = 5, 7, 9, 64
+#: Where more finds and more other things than this share one deletion or ending, a node between them stands for their links.
+MOST_PAIRED = 16
 #: Masked twins of one document that the field is fitted on, at most.
 TWINS = 40
 Span = tuple[int, int, int]  # start, kind, end
@@ -207,9 +209,36 @@ def _key(t: str) -> str:
     return "".join(c for c in _DOT.sub(".", _AT.sub("@", t)).lower() if c.isalnum())
 
 
+_PRIME = (1 << 61) - 1
+
+
+def _near(key: str) -> set:
+    """What a key shares with every key one edit away: itself and each deletion, and of a number its last nine digits.
+
+    Of keys longer than MOST_SIMILAR polynomial hashes stand for these, so that a
+    key takes time and space in proportion to its length.
+    """
+    n = len(key)
+    if n < LEAST_SIMILAR:
+        return set()
+    out: set = {f"...{key[-9:]}"} if key.isdigit() else set()
+    if n <= MOST_SIMILAR:
+        out |= {key, *(key[:i] + key[i + 1 :] for i in range(n))}
+    if n >= MOST_SIMILAR:
+        base, head, tail, power = 1_000_003, [0], [0], [1]
+        for a, b in zip(key, reversed(key)):
+            head.append((head[-1] * base + ord(a) + 1) % _PRIME)
+            tail.append((tail[-1] + (ord(b) + 1) * power[-1]) % _PRIME)
+            power.append(power[-1] * base % _PRIME)
+        out.add((n, head[n]))
+        if n > MOST_SIMILAR:
+            out |= {(n - 1, (head[i] * power[n - 1 - i] + tail[n - 1 - i]) % _PRIME) for i in range(n)}
+    return out
+
+
 @dataclass
 class Links:
-    """The skip links of a document: for each shared node the tokens of its occurrences, and the pairs of similar nodes."""
+    """The skip links of a document: for each shared node the tokens of its occurrences (none: a node between others), and the pairs of similar nodes."""
 
     nodes: list[list[int]]
     similar: list[tuple[int, int]]
@@ -220,8 +249,10 @@ def skip_links(text: str, toks: list[tuple[int, int]], base: list[Span], hidden:
 
     Tokens in ``hidden`` count as found by no pattern. A find's digits are looked
     for in every stretch of adjacent number tokens; what is left of a stretch is
-    one thing by its digits. Time and links grow with the tokens only: each thing
-    is linked to one find among those that share a deletion or ending with it.
+    one thing by its digits, or where these are like no find's, cut into the
+    numbers that are. Each thing is linked to every find that shares a deletion or
+    ending with it; where both are many, by way of one node, so that time and
+    links grow with the tokens only.
     """
     starts = [a for a, _ in toks]
     found: dict[str, list[int]] = {}
@@ -240,8 +271,37 @@ def skip_links(text: str, toks: list[tuple[int, int]], base: list[Span], hidden:
                 found.setdefault(key, []).extend(mine)
     if not found:
         return Links([], [])
-    longest = max(map(len, found))
+    longest = max([len(k) for k in found if k.isdigit()], default=0)
+    hubs: dict = {}
+    for k in found:
+        for n in _near(k):
+            hubs.setdefault(n, []).append(k)
+    like = lambda k: not hubs.keys().isdisjoint(_near(k))
     others: dict[str, list[int]] = {}
+
+    def left_over(parts: list[str], at: int) -> None:
+        """Number tokens from ``at`` on, with the digits ``parts``, that are no find's."""
+        cuts, whole = [(0, len(parts))], "".join(parts)
+        if len(parts) > 1 and not like(whole):
+            cuts, i, rest = [], 0, 0
+            while i < len(parts):
+                upto, window = 0, ""
+                for j in range(i, len(parts)):
+                    window += parts[j]
+                    if len(window) > longest + 1:
+                        break
+                    if like(window):
+                        upto = j + 1
+                if upto:
+                    cuts += [(rest, i), (i, upto)]
+                    rest = upto
+                i = upto or i + 1
+            cuts.append((rest, len(parts)))
+        for a, b in cuts:
+            key = "".join(parts[a:b])
+            if len(key) >= LEAST_DIGITS:
+                others.setdefault(key, []).extend(range(at + a, at + b))
+
     runs = _run_bounds(text, toks)
     for first, last in sorted(set(runs)):
         at = first
@@ -270,23 +330,29 @@ def skip_links(text: str, toks: list[tuple[int, int]], base: list[Span], hidden:
                     if whole in found:
                         match = j + 1
                 if match or i == len(parts):
-                    left = "".join(parts[rest:i])
-                    if len(left) >= LEAST_DIGITS:
-                        others.setdefault(left, []).extend(range(at + rest, at + i))
+                    left_over(parts[rest:i], at + rest)
                     if match:
                         found["".join(parts[i:match])].extend(range(at + i, at + match))
                         rest = match
                 i = match or i + 1
             at = upto + 1
-    near = lambda k: {k, *(k[:i] + k[i + 1 :] for i in range(len(k))), *([f"...{k[-9:]}"] if k.isdigit() else [])} if LEAST_SIMILAR <= len(k) <= MOST_SIMILAR else set()
-    hubs: dict[str, str] = {}
-    for k in found:
-        for n in near(k):
-            hubs.setdefault(n, k)
-    pairs = sorted({(k, hubs[n]) for k in others for n in near(k) if n in hubs})
-    used = dict.fromkeys([k for k, at in found.items() if any(i not in taken for i in at)] + [k for pair in pairs for k in pair])
+    sharers: dict = {}
+    for k in others:
+        for n in _near(k):
+            if n in hubs:
+                sharers.setdefault(n, []).append(k)
+    pairs, between = set(), []
+    for n, ks in sharers.items():
+        if min(len(ks), len(hubs[n])) <= MOST_PAIRED:
+            pairs |= {(k, f) for k in ks for f in hubs[n]}
+        else:
+            between.append((ks, hubs[n]))
+    between.sort()
+    mid = [(k, h) for h, (ks, _) in enumerate(between) for k in ks], [(h, f) for h, (_, fs) in enumerate(between) for f in fs]
+    used = dict.fromkeys([k for k, at in found.items() if any(i not in taken for i in at)] + [k for pair in sorted(pairs) for k in pair] + [k for k, _ in mid[0]] + [f for _, f in mid[1]])
     number = {k: n for n, k in enumerate(used)}
-    return Links([(found | others)[k] for k in used], [(number[a], number[b]) for a, b in pairs])
+    similar = [(number[a], number[b]) for a, b in sorted(pairs)] + [(number[k], len(used) + h) for k, h in mid[0]] + [(len(used) + h, number[f]) for h, f in mid[1]]
+    return Links([(found | others)[k] for k in used] + [[] for _ in between], similar)
 
 
 def evidence(toks: list[tuple[int, int]], base: list[Span]) -> np.ndarray:
@@ -381,8 +447,12 @@ def _sides(y: np.ndarray, near: np.ndarray, linked: Links) -> np.ndarray:
     for k, at in enumerate(linked.nodes):
         if said[k]:
             side[at, 2 * SIDE + said[k]] = 1
+    heard: dict[int, set[int]] = {}
+    for a, b in linked.similar:
+        heard.setdefault(a, set()).add(said[b])
     for a, b in linked.similar:
-        side[linked.nodes[a], 3 * SIDE + said[b]] = 1
+        for k in {said[b]} | (heard.get(b, set()) if not linked.nodes[b] else set()):
+            side[linked.nodes[a], 3 * SIDE + k] = 1
     return side
 
 

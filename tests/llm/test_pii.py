@@ -177,3 +177,35 @@ def test_planted_twins_are_found_and_copies_without_a_find_are_not(spark):
         for words in (" lorem ", " card ", " tel: ", ", "):
             text = words + words.join([n] * 5)
             assert field.extra(text, pii.base_spans(text)) == []
+
+
+def linked_things(text):
+    """The pairs of similar things (as their tokens' text), by way of nodes between them too."""
+    toks, base = pii.tokens(text), pii.base_spans(text)
+    linked = pii.skip_links(text, toks, base)
+    known = pii.evidence(toks, base)
+    name = lambda n: text[toks[min(linked.nodes[n])][0] : toks[max(i for i in linked.nodes[n] if bool(known[i]) == bool(known[min(linked.nodes[n])]))][1]]
+    into: dict = {}
+    for a, b in linked.similar:
+        into.setdefault(a, []).append(b)
+    return {(name(a), name(f)) for a, bs in into.items() if linked.nodes[a] for b in bs for f in ([b] if linked.nodes[b] else into[b])}, linked
+
+
+def test_a_thing_is_linked_to_every_similar_find():
+    some = "ring +14155551234 or +14155551235 now, and later 14155551236 was said"
+    assert linked_things(some)[0] == {("14155551236", "+14155551234"), ("14155551236", "+14155551235")}
+    long = "a" * 60 + "@" + "b" * 60 + ".example"
+    typo = long.replace("@", "(at)")[:-2] + "xe"
+    assert linked_things(f"write to {long} or later to {typo} again")[0] == {(typo, long)}
+    # Two misspelt numbers next to each other are two things.
+    two = "ring +14155551234 now, and later 14155551236 14155551237 was said"
+    assert linked_things(two)[0] == {("14155551236", "+14155551234"), ("14155551237", "+14155551234")}
+
+
+def test_many_things_and_many_finds_share_one_node():
+    finds = [f"+{i}415555123" for i in range(1000, 1300)]
+    twins = [t for t in (f"00{i}415555123" for i in range(5000, 5300)) if not pii.luhn(t)]
+    text = " was said. ".join(finds + twins) + " x"
+    pairs, linked = linked_things(text)
+    assert {(t, f) for t in twins for f in finds} <= pairs
+    assert len(linked.similar) < 20 * 600
