@@ -28,7 +28,7 @@ def register(spark: SparkSession) -> None:
 
     @arrow_udf("binary")
     def yaz0_encode(b: pa.Array) -> pa.Array:
-        return pa.array([None if raw is None else lz.encode(raw) for raw in b.to_pylist()], pa.binary())
+        return pa.array(lz.encode_all(b.to_pylist()), pa.binary())
 
     @arrow_udf("bigint")
     def name_hash32(b: pa.Array) -> pa.Array:

@@ -54,7 +54,7 @@ def compressed(b: Column, alignment: int = 0, endian: str = "BE") -> Column:
 
     @F.arrow_udf("binary")
     def run(col: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else lz.encode(x, alignment, endian) for x in col.to_pylist()], pa.binary())
+        return pa.array(lz.encode_all(col.to_pylist(), alignment, endian), pa.binary())
 
     return run(b)
 

@@ -247,3 +247,17 @@ def test_tables_of_matches_give_what_the_search_gives(seed):
         found.append((None, distance, length) if length else (data[place], 0, 1))
         place += length or 1
     assert lz.compressed_ops(data, at, end) == found
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.binary(max_size=60), st.sampled_from([b"aaaa", b"abcabcabcX", bytes(9000), LONG[:70_000], LONG[:5000] + LONG[:900], b"z" * 300])), max_size=12))
+def test_files_encoded_together_are_as_encoded_alone(files):
+    assert lz.encode_all(files, 32, "LE") == [None if f is None else lz.encode(f, 32, "LE") for f in files]
+    for f, packed in zip(files, lz.encode_all(files)):
+        if f is not None and len(f) < 1000:
+            ops, at = [], 0
+            while at < len(f):
+                distance, length = lz.longest_match(f, at)
+                ops.append((None, distance, length) if length else (f[at], 0, 1))
+                at += length or 1
+            assert packed == lz.Header(len(f)).pack() + lz.packed_ops(ops)

@@ -4,16 +4,18 @@ import math
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from octetloom.codec import archive
+from octetloom.codec import archive, lz
 from octetloom.errors import DecodeError, strict
 from octetloom.functions import primitives as P
 from octetloom.functions import slices as S
 from octetloom.functions import text as T
 from octetloom.operators import archives, compression, provenance, records, trees
-from octetloom.plans import containers, registry
+from octetloom.plans import containers, edits, registry
 
 TABLES = Path("/root/testdata/sf0.001")
 
@@ -165,3 +167,37 @@ def test_walks_have_no_limit_of_rows_or_depth(spark):
     for walk in (provenance.ancestors, provenance.lineage):
         with pytest.raises(ValueError, match="cycle"):
             walk(ring)
+
+
+@pytest.mark.parametrize("name", ["yaz0_roundtrip", "yaz0_op_stats", "yaz0_splice", "yaz0_range", "yaz0_block_edits"])
+def test_a_file_of_one_row_group_is_dealt_out(spark, tmp_path, monkeypatch, name):
+    texts = [f"some text {i % 10}" for i in range(4000)]
+    pq.write_table(pa.table({"doc_id": range(4000), "text": texts}), tmp_path / "documents.parquet", row_group_size=4000)
+    pq.write_table(pa.table({"page_id": range(4000), "html": texts}), tmp_path / "pages.parquet", row_group_size=4000)
+    pq.write_table(pa.table({"p_partkey": range(4000), "p_name": texts, "p_type": texts, "p_brand": texts, "p_size": range(4000)}), tmp_path / "part.parquet", row_group_size=4000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    monkeypatch.setattr(containers, "CODED", 500, raising=False)
+    for where in (containers, edits):
+        monkeypatch.setattr(where, "CODED_SHORT", 500, raising=False)
+    try:
+        # What comes out of the coding step itself, before any aggregate.
+        seen = []
+        monkeypatch.setattr(containers.compression, "operations", lambda t, **_: seen.append(t) or compression_operations(t, **_))
+        out = registry.queries()[name](spark, str(tmp_path))
+        step = seen[0] if seen else out
+        assert step.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 700
+        assert step.count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+compression_operations = compression.operations
+
+
+def test_operations_of_many_files_share_batches(spark):
+    files = spark.createDataFrame([(i, bytes(lz.encode(bytes([i % 50]) * (i % 40)))) for i in range(300)], "k int, content binary").coalesce(1)
+    want = {i: sum(n for *_, n in lz.compressed_ops(bytes([i % 50]) * (i % 40))) for i in range(300) if i % 40}
+    rows = compression.operations(files, keys=("k",))
+    assert {r.k: r.n for r in rows.groupBy("k").agg(F.sum("length").alias("n")).collect()} == want
+    ops = [(0, 0, 65, 0, 1, 0), (0, 1, None, 1, 17, 1), (0, 2, None, 4096, 18, 18)]
+    assert [c.to_pylist() for c in compression._op_columns(ops)] == [[0] * 3, [0, 1, 2], ["literal", "short", "long"], [65, None, None], [None, 1, 4096], [1, 17, 18], [0, 1, 18]]
