@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from octetloom.schemas import LZ_OPS, result
 from octetloom.types import arrow_type
 
 _RESULT = result("binary")
+#: Operations that go to Spark in one batch, unless one file has more.
+OPS_TOGETHER = 50_000
 
 
 def _each(fn: Callable[..., object], kind: str):
@@ -80,26 +83,35 @@ def with_header(b: Column, decompressed_size: Column | None = None, alignment: C
     return b
 
 
+def _op_columns(ops: list[tuple]) -> list[pa.Array]:
+    block, number, literal, distance, length, at = zip(*ops)
+    literal, distance, length = pa.array(literal, pa.int16()), np.array(distance, np.int32), np.array(length, np.int32)
+    kind = np.where(distance == 0, 0, np.where(length < lz.LONG_FROM, 1, 2))
+    kinds = pa.array(["literal", "short", "long"]).take(pa.array(kind))
+    return [pa.array(block, pa.int64()), pa.array(number, pa.int32()), kinds, literal, pa.array(distance, mask=distance == 0), pa.array(length), pa.array(at, pa.int64())]
+
+
 def operations(files: DataFrame, content: str = "content", keys: tuple[str, ...] = (), endian: str = "BE") -> DataFrame:
     """One row per operation of every file: ``keys`` and the operation. Operations before a fault in the blocks are kept."""
     names = [c.split()[0] for c in LZ_OPS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, raw in enumerate(b.column(content).to_pylist()):
-                if raw is None:
-                    continue
-                ops: list = []
-                try:
-                    c = lz.Cursor(raw, endian)
-                    lz.parse(c, lz.read_header(c).decompressed_size, ops)
-                except DecodeError:
-                    pass
-                if ops:
-                    rows = [(blk, k, "literal" if lit is not None else "short" if n < lz.LONG_FROM else "long", lit, d or None, n, at) for blk, k, lit, d, n, at in ops]
-                    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int16(), pa.int32(), pa.int32(), pa.int64()]
-                    own = [pa.array([b.column(k)[i].as_py()] * len(rows), b.column(k).type) for k in keys]
-                    yield pa.RecordBatch.from_arrays(own + [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [*keys, *names])
+            ops, files, upto = [], [], []
+            for i in range(b.num_rows):
+                raw = b.column(content)[i].as_py()
+                if raw is not None:
+                    try:
+                        c = lz.Cursor(raw, endian)
+                        lz.parse(c, lz.read_header(c).decompressed_size, ops)
+                    except DecodeError:
+                        pass
+                    files.append(i)
+                    upto.append(len(ops))
+                if ops and (len(ops) >= OPS_TOGETHER or i + 1 == b.num_rows):
+                    of = pa.array(np.repeat(files, np.diff(upto, prepend=0)))
+                    yield pa.RecordBatch.from_arrays([b.column(k).take(of) for k in keys] + _op_columns(ops), [*keys, *names])
+                    ops, files, upto = [], [], []
 
     kind = ", ".join([f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys] + [LZ_OPS])
     return files.select(*keys, content).mapInArrow(run, kind)
