@@ -90,7 +90,8 @@ STREAM = "SELECT c_nationkey, (row_number() OVER (PARTITION BY c_nationkey ORDER
 def sql_functions(spark, sf_dir):
     """The decoders under their SQL names, table functions with a lateral join."""
     register_functions(spark)
-    packed = _nation_trees(spark, sf_dir).select("c_nationkey", compression.compressed(F.col("content")).alias("packed"))
+    trees = _nation_trees(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    packed = trees.select("c_nationkey", compression.compressed(F.col("content")).alias("packed"))
     return spark.sql("SELECT c_nationkey, idx, value, name_hash32(cast(value AS binary)) AS hash FROM {t}, LATERAL tree_strings(yaz0_decode(packed), 'key')", t=packed)
 
 

@@ -50,3 +50,27 @@ def test_many_notes_keep_the_expression_small(spark):
         r = errors.annotated(r, f"n{i}", when=F.lit(i % 2 == 0))
     rows = spark.createDataFrame([(bytearray(b"abc"), 1), (bytearray(b"abc"), 2)], "b binary, at int").select("at", r["error"]["component"].alias("c"), r["value"].alias("v"))
     assert [(x.c, x.v and bytes(x.v)) for x in rows.orderBy("at").collect()] == [(None, b"bc"), ("part (n0) (n2) (n4) (n6)", None)]
+
+
+def test_table_functions_hold_few_rows_as_objects(spark, monkeypatch):
+    live, most = 0, 0
+
+    class Row(bytes):
+        def __new__(cls, x):
+            nonlocal live, most
+            live += 1
+            most = max(most, live)
+            return super().__new__(cls, x)
+
+        def __del__(self):
+            nonlocal live
+            live -= 1
+
+    monkeypatch.setattr(sql, "ROWS_TOGETHER", 100)
+    kind = sql.arrow_type(f"struct<{sql._fields(sql.STRING_COLUMNS)}>")
+    out = sql._lists(iter([((i, 4 * i, Row(b"x"), "x") for i in range(n)) for n in (1000, 0, 50)]), kind)
+    assert [len(x) for x in out.to_pylist()] == [1000, 0, 50] and out[0].as_py()[999] == {"idx": 999, "offset": 3996, "raw": b"x", "value": "x"}
+    assert most <= 300 and live == 0
+    sql.register(spark)
+    plan = spark.sql("SELECT s.value FROM (SELECT X'00' AS content), LATERAL tree_strings(content, 'key') s")._jdf.queryExecution().toString()
+    assert "TreeStrings" not in plan and "BatchEvalPythonUDTF" not in plan
