@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from octetloom.functions.sql import register as register_functions
 from octetloom.operators import compression
-from octetloom.operators.records import packed_record
+from octetloom.operators.records import packed
 from octetloom.plans.containers import _archives, _bytes, _nation_trees, _table
 from octetloom.session import shared_folder
 from octetloom.sources.containers import register
@@ -63,9 +63,9 @@ ARCHIVE = "SELECT n_regionkey, 1 AS sequence, n_name AS name, repeat(n_name, n_n
 
 def source_records(spark, sf_dir):
     """One table of records per supplier, read from the second record on."""
-    record = packed_record({"hash": (F.col("l_partkey"), "u32"), "order": (F.col("l_orderkey"), "u64"), "quantity": (F.col("l_quantity").cast("bigint"), "u16")}, "LE")
-    rows = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", record.alias("r"))))
-    t = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.unhex(F.array_join(F.transform(rows, lambda x: F.hex(x["r"])), "")).alias("data"))
+    fields = {"hash": (F.col("l_partkey"), "u32"), "order": (F.col("l_orderkey"), "u64"), "quantity": (F.col("l_quantity").cast("bigint"), "u16")}
+    t = packed(_table(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], fields, "LE")
+    t = t.select("l_suppkey", F.coalesce("content", F.lit(b"")).alias("data"))
     folder = _raw(spark, t.withColumn("name", F.concat(F.col("l_suppkey").cast("string"), F.lit(".bin"))))
     out = spark.read.format("records").option("fields", "hash:u32,order:u64,quantity:u16").option("endian", "LE").option("first", 1).option("split_records", 20_000).load(folder)
     return out.select(_key().alias("l_suppkey"), "idx", "hash", F.col("order").cast("bigint").alias("order_key"), "quantity")

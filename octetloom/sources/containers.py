@@ -16,20 +16,25 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from decimal import Decimal
 from fnmatch import fnmatch
 
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from octetloom.codec import archive, lz, tree
-from octetloom.codec.cursor import Cursor
 from octetloom.errors import DecodeError
 from octetloom.functions.primitives import TYPES
 
 
+#: Files that a commit moves at a time.
+COMMITTERS = 16
+
+
 @dataclass
 class File(InputPartition):
     path: str
@@ -48,7 +53,11 @@ def _store(spec: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _paths(options) -> list[str]:
-    """The files that the option ``path`` names, as they are named there (a URI stays one)."""
+    return [p for p, _ in _sized_paths(options)]
+
+
+def _sized_paths(options) -> list[tuple[str, int]]:
+    """The files that the option ``path`` names, as they are named there (a URI stays one), with their sizes: one listing for all."""
     spec = options.get("path", "")
     if not spec:
         return []
@@ -57,11 +66,11 @@ def _paths(options) -> list[str]:
     folder, _, pattern = path.rpartition("/")
     info = store.get_file_info(path)
     if info.type == pafs.FileType.File:
-        return [head + path]
+        return [(head + path, info.size)]
     if info.type == pafs.FileType.Directory:
         folder, pattern = path, "*"
     found = store.get_file_info(pafs.FileSelector(folder or "/", allow_not_found=True))
-    return sorted(head + f.path for f in found if f.type == pafs.FileType.File and fnmatch(f.base_name, pattern) and not f.base_name.startswith((".", "_")))
+    return sorted((head + f.path, f.size) for f in found if f.type == pafs.FileType.File and fnmatch(f.base_name, pattern) and not f.base_name.startswith((".", "_")))
 
 
 class _FileReader(DataSourceReader):
@@ -181,16 +190,15 @@ class _RecordReader(DataSourceReader):
     """
 
     def __init__(self, options) -> None:
-        self.options, self.files, self.fields = options, _paths(options), _fields(options)
+        self.options, self.files, self.fields = options, _sized_paths(options), _fields(options)
         self.width = sum(TYPES[k][0] for _, k in self.fields)
         self.low = int(options.get("first", "0"))
         self.high = self.low + int(options["count"]) if "count" in options else None
 
     def partitions(self):
         step, out = int(self.options.get("split_records", "1000000")), []
-        for p in self.files:
-            store, path = _store(p)
-            n = store.get_file_info(path).size // self.width
+        for p, size in self.files:
+            n = size // self.width
             high = n if self.high is None else min(n, self.high)
             out += [(p, a, min(a + step, high)) for a in range(self.low, high, step)]
         # Small files share a split.
@@ -203,26 +211,61 @@ class _RecordReader(DataSourceReader):
             held += r[2] - r[1]
         return [_Ranges(x) for x in splits]
 
-    def read(self, partition):
-        for path, first, last in partition.ranges:
-            yield from self.range(path, first, last)
-
-    def range(self, name: str, first: int, last: int) -> Iterator[tuple]:
-        store, path = _store(name)
-        with store.open_input_file(path) as f:
-            raw = f.read_at((last - first) * self.width, first * self.width)
-        c = Cursor(raw, self.options.get("endian", "BE"))
-        for i in range(first, first + len(raw) // self.width):
-            yield (name, i, *(self.value(c, k) for _, k in self.fields))
-
-    @staticmethod
-    def value(c: Cursor, kind: str):
-        if kind == "u64":
-            return Decimal(c.get(kind))
-        if TYPES[kind][1] == "binary":
-            raw = c.read(16)
-            return raw if c.endian == "BE" else raw[::-1]
-        return c.get(kind)
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        names, firsts, counts, raws, held = [], [], [], [], 0
+        for name, first, last in partition.ranges:
+            for a in range(first, last, BATCH_RECORDS):
+                store, path = _store(name)
+                with store.open_input_file(path) as f:
+                    raw = f.read_at((min(a + BATCH_RECORDS, last) - a) * self.width, a * self.width)
+                n = len(raw) // self.width
+                names.append(name)
+                firsts.append(a)
+                counts.append(n)
+                raws.append(raw[: n * self.width])
+                held += n
+                if held >= BATCH_RECORDS:
+                    yield self.batch(names, firsts, counts, raws)
+                    names, firsts, counts, raws, held = [], [], [], [], 0
+        if held:
+            yield self.batch(names, firsts, counts, raws)
+
+    def batch(self, names: list[str], firsts: list[int], counts: list[int], raws: list[bytes]) -> pa.RecordBatch:
+        """The records of some stretches: by file, first number, number of records and bytes."""
+        table = np.frombuffer(b"".join(raws), np.uint8).reshape(-1, self.width)
+        file = np.repeat(np.arange(len(names)), counts)
+        idx = np.arange(len(table)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(firsts, counts)
+        cols, at, endian = [pa.array(names, pa.string()).take(pa.array(file)), pa.array(idx, pa.int64())], 0, self.options.get("endian", "BE")
+        for _, kind in self.fields:
+            size = TYPES[kind][0]
+            cols.append(_column(table[:, at : at + size], kind, endian))
+            at += size
+        return pa.RecordBatch.from_arrays(cols, ["path", "idx", *(n for n, _ in self.fields)])
+
+
+#: Records decoded at a time.
+BATCH_RECORDS = 20_000
+_NUMPY = {"u8": "u1", "i8": "i1", "u16": "u2", "i16": "i2", "u32": "u4", "i32": "i4", "u64": "u8", "i64": "i8", "f32": "f4", "f64": "f8"}
+_ARROW = {"smallint": pa.int16(), "tinyint": pa.int8(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
+
+
+def _column(raw: np.ndarray, kind: str, endian: str) -> pa.Array:
+    """The primitives whose bytes are the rows of ``raw``."""
+    n, size = raw.shape
+    if kind == "bool":
+        return pa.array(raw[:, 0] != 0)
+    if kind in ("u128", "i128"):
+        ordered = np.ascontiguousarray(raw if endian == "BE" else raw[:, ::-1])
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), n, [None, pa.py_buffer(ordered)]).cast(pa.binary())
+    if kind == "u24":
+        a, b, c = (raw[:, i].astype(np.int32) for i in ((0, 1, 2) if endian == "BE" else (2, 1, 0)))
+        return pa.array(a << 16 | b << 8 | c)
+    values = np.ascontiguousarray(raw).view((">" if endian == "BE" else "<") + _NUMPY[kind])[:, 0]
+    if kind == "u64":
+        words = np.zeros((n, 2), "<u8")
+        words[:, 0] = values
+        return pa.Array.from_buffers(pa.decimal128(20, 0), n, [None, pa.py_buffer(words)])
+    return pa.array(values.astype(_ARROW[TYPES[kind][1]].to_pandas_dtype()))
 
 
 @dataclass
@@ -277,14 +320,22 @@ class _FileWriter(DataSourceWriter):
     def commit(self, messages) -> None:
         store, _ = _store(self.folder)
         before = set(self.there())
-        written = [pair for m in messages if m for pair in m.paths]
-        for own, final in written:
+        written: dict[str, list[str]] = {}
+        for own, final in (pair for m in messages if m for pair in m.paths):
+            written.setdefault(final, []).append(own)
+
+        def place(final: str) -> None:
             if final in before:
                 store.delete_file(final)
-                before.discard(final)
-            store.move(own, final)
-        for stale in before - {final for _, final in written} if self.overwrite else ():
-            store.delete_file(stale)
+            for own in written[final]:
+                store.move(own, final)
+
+        # Stores answer many requests at a time.
+        with ThreadPoolExecutor(COMMITTERS) as pool:
+            for _ in pool.map(place, written):
+                pass
+            for _ in pool.map(store.delete_file, before - written.keys() if self.overwrite else ()):
+                pass
 
     def abort(self, messages) -> None:
         store, _ = _store(self.folder)

@@ -1,9 +1,14 @@
+import random
 import struct
+from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from octetloom.codec import archive, lz, tree
+from octetloom.codec.cursor import Cursor
+from octetloom.sources import containers
 from octetloom.sources.containers import register
 from octetloom.streaming.decoding import arriving_strings
 
@@ -82,3 +87,34 @@ def test_overwrite_leaves_no_old_file(spark, tmp_path):
     with pytest.raises(Exception, match="out"):
         rows("more").write.format("yaz0").mode("append").save(where)
     assert {bytes(r.data) for r in spark.read.format("yaz0").load(where).collect()} == {b"kept", b"new"}
+
+
+@pytest.mark.parametrize("endian", ["BE", "LE"])
+def test_records_are_decoded_by_columns(spark, tmp_path, endian, monkeypatch):
+    register(spark)
+    kinds = list(containers.TYPES)
+    width = sum(containers.TYPES[k][0] for k in kinds)
+    dice = random.Random(4)
+    raw = {n: bytes(dice.choices(range(256), k=width * n)) + b"rest" * (n % 2) for n in (0, 1, 7, 150)}
+    options = {"path": put(tmp_path, **{f"f{n}_bin": r for n, r in raw.items()}), "fields": ",".join(f"{k}:{k}" for k in kinds), "endian": endian}
+    options["path"] = str(tmp_path)
+    want = []
+    for n, r in sorted(raw.items(), key=lambda x: f"f{x[0]}.bin"):
+        c = Cursor(r, endian)
+        for i in range(n):
+            row = [c.get(k) if containers.TYPES[k][1] != "binary" else (c.read(16) if endian == "BE" else c.read(16)[::-1]) for k in kinds]
+            want.append((f"f{n}.bin", i, *(Decimal(x) if k == "u64" else x for x, k in zip(row, kinds))))
+    monkeypatch.setattr(containers, "BATCH_RECORDS", 40)
+    reader = containers._RecordReader(options)
+    # Sizes come from the one listing.
+    monkeypatch.setattr(containers, "_store", lambda _: pytest.fail("asked for a file's size"))
+    splits = reader.partitions()
+    monkeypatch.undo()
+    monkeypatch.setattr(containers, "BATCH_RECORDS", 40)
+    batches = [b for s in splits for b in reader.read(s)]
+    assert all(isinstance(b, pa.RecordBatch) and b.num_rows < 80 for b in batches)
+    got = [(p.rpartition("/")[2], *rest) for b in batches for p, *rest in zip(*(c.to_pylist() for c in b.columns))]
+    same = lambda a, b: a == b or isinstance(a, float) and a != a and b != b
+    assert len(got) == len(want) and all(same(x, y) for a, b in zip(got, want) for x, y in zip(a, b))
+    rows = spark.read.format("records").options(**options).load()
+    assert rows.count() == len(want) and rows.agg(F.sum("u64"), F.count("i128")).first() == (sum(w[2 + kinds.index("u64")] for w in want), len(want))
